@@ -8,6 +8,8 @@ taxon is 7701. Everything else that is not blank is malformed.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
+
 DEFAULT_TAXON = "7701"
 ID_PATTERN = r"(?i)^[\s ]*(?:(\d+)\.)?FMPP(\d{11})(?:\.\d+)?[\s ]*$"
 
@@ -41,3 +43,27 @@ def former_ids(nodes: DataFrame) -> DataFrame:
         .agg(F.min("node").alias("node"))
         .join(held, "name", "left_anti")
     )
+
+
+#: A table of former ids of up to so many rows, some 20 MB, is sent to all executors.
+BROADCAST_ROWS = 200_000
+
+
+def resolve(df: DataFrame, columns: list[str], former: DataFrame, salts: int = 32) -> DataFrame:
+    """``df`` with the canonical ids in ``columns`` replaced by the nodes that they are former ids of.
+
+    The former ids are broadcast where a count shows that they are few; otherwise each column
+    is joined by shuffle, with hot ids spread over ``salts`` tasks.
+    """
+    small = former.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for c in columns:
+        names = former.select(F.col("name").alias("__name"), F.col("node").alias("__node"))
+        if small:
+            df = df.join(F.broadcast(names), F.col(c) == F.col("__name"), "left")
+        else:
+            hot = skew.hot_keys(df, c)
+            names = skew.replicate(names, "__name", hot, salts, "__salt")
+            left = df.withColumn("__by", skew.salt(c, F.monotonically_increasing_id(), hot, salts))
+            df = left.join(names, (F.col(c) == F.col("__name")) & (F.col("__by") == F.col("__salt")), "left").drop("__by", "__salt")
+        df = df.withColumn(c, F.coalesce("__node", c)).drop("__name", "__node")
+    return df
