@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
-from . import split_items, split_overlap, top_items
+from . import split_items, split_overlap, tokenizer, top_items
 
 # 1: splitting oversized sequences
 
@@ -63,7 +63,14 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_top, p5_found, p5_report)}
+# 6: token ids
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_top, p5_found, p5_report, p6_ids)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),
