@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
-from . import split_items, split_overlap, tokenizer, top_items
+from . import leakage, split_items, split_overlap, tokenizer, top_items
 
 # 1: splitting oversized sequences
 
@@ -70,7 +70,23 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_top, p5_found, p5_report, p6_ids)}
+# 7: evaluation items that notebooks show
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents show each item."""
+    return p7_leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("cover").alias("most"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),
