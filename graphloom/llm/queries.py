@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
-from . import leakage, split_items, split_overlap, tokenizer, top_items
+from . import leakage, similar_vectors, split_items, split_overlap, tokenizer, top_items
 
 # 1: splitting oversized sequences
 
@@ -19,6 +19,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("piece_no = 0").select("rec_id")
 
 
+# 3: the most similar vectors of every vector
+
+
+def current_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The usable rows of ``node_embeddings``, of several of one node (or unknown id or text) the last loaded."""
+    e = table(spark, folder, "node_embeddings").where(similar_vectors.usable(F.col("emb"), 64))
+    former = ids.former_ids(table(spark, folder, "nodes"))
+    named = ids.resolve(e.select("rec_id", "ids", "loaded_at", ids.canonical(F.col("ids")).alias("node")), ["node"], former)
+    by = F.when(ids.is_blank(F.col("ids")), F.concat(F.lit("row "), "rec_id")).otherwise(F.coalesce("node", F.concat(F.lit("text "), "ids")))
+    last = named.groupBy(by.alias("by")).agg(F.max(F.struct("loaded_at", "rec_id")).alias("last"))
+    return e.select("rec_id", "emb").join(last.select("last.rec_id"), "rec_id", "left_semi")
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.most_similar(current_vectors(spark, folder), "rec_id", "emb")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = p3_neighbours(spark, folder).where("cosine > 0.85")
+    return near.select(F.least("rec_id", "neighbour").alias("rec_a"), F.greatest("rec_id", "neighbour").alias("rec_b")).distinct()
+
+
 # 4: the strongest partners of every node
 
 
@@ -86,7 +108,7 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("cover").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),
