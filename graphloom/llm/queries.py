@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
-from . import leakage, similar_vectors, split_items, split_overlap, tokenizer, top_items
+from . import leakage, similar_vectors, split_items, split_overlap, tokenizer, top_items, truncation
 
 # 1: splitting oversized sequences
 
@@ -108,7 +108,26 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("cover").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items)}
+# 8: notebooks that were cut off
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.score(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where(F.col("score") >= truncation.DECISION).select("doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut texts among those with content, per source."""
+    is_cut = F.col("score") >= truncation.DECISION
+    return p8_scores(spark, folder).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if(is_cut).alias("n_cut"), F.round(F.avg(is_cut.cast("double")), 6).alias("share")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),

@@ -110,7 +110,7 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int =
     rows = df.where(usable(F.col(f"`{vector}`"), size)).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vector"))
     rows = cut(rows.withColumn("h", F.xxhash64("vector")))
     classes = cut(rows.groupBy("h", "vector").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
-    found = _ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k), k)
+    found = cut(_ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k), k))
     return _expand(_copies(rows, classes), found, k).select(F.col("id").alias(key), "neighbour", "cosine", "rank")
 
 
