@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
+from ..runtime import cut
 from . import leakage, similar_vectors, split_items, split_overlap, tokenizer, top_items, truncation
 
 # 1: splitting oversized sequences
@@ -67,9 +68,9 @@ def _edges(spark: SparkSession, folder: str, split: str, former: DataFrame) -> D
 
 
 def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
-    former = ids.former_ids(table(spark, folder, "nodes"))
+    former = cut(ids.former_ids(table(spark, folder, "nodes")))
     train, val, test = (_edges(spark, folder, split, former) for split in ("train", "val", "test"))
-    return split_overlap.overlapping_rows(train, val.unionByName(test), words=2)
+    return split_overlap.overlapping_rows(cut(train), cut(val.unionByName(test)), words=2)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -152,7 +152,7 @@ def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str]:
         seen = Counter(_WORD.findall(text[-4000:-1] if len(text) > 4000 else text[:-1]))
         itself = seen[w] > 0
         part = not itself and any(x.startswith(w) and len(x) > len(w) for x in seen)
-        out += [f"{k}|here {itself}|{part}", f"here {itself}|{part}|{terminal}"]
+        out += [f"{k}|single {len(tokens) == 1}|{itself}|{part}", f"{k}|here {itself}|{part}", f"here {itself}|{part}|{terminal}"]
     return out, w if not newline else ""
 
 
@@ -247,7 +247,7 @@ def score(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     share = TRAIN_TEXTS / max(1, described.count())
     sample = texts.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
     sample = sample.mapInPandas(examples, "label double, f array<string>, word string, half int")
-    words = _known_words(texts)
+    words = cut(_known_words(texts))
     sample = cut(_with_words(sample, words))
     found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(found) < 2:
