@@ -124,7 +124,8 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cover = [best_passage(shown.split(" "), words(item)) for shown, item in zip(batch["shown"], batch["item"])]
+            near = [s.split(" ")[max(0, a - REACH) : b + GRAM + REACH] for s, a, b in zip(batch["shown"], batch["first"], batch["last"])]
+            cover = [best_passage(shown, words(item)) for shown, item in zip(near, batch["item"])]
             out = batch[["d", "i"]].assign(cover=cover)
             yield out[out["cover"] >= COVER]
 
@@ -135,17 +136,17 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     for n in range(passes):
         own = marks.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n) if passes > 1 else marks
         here = cut(_regions(docs, doc_kind, own, COVER * shortest - 2 * SLACK).withColumn("r", F.monotonically_increasing_id()))
-        hits = here.select("r", F.explode("h").alias("h")).join(F.broadcast(own), "h")
+        hits = here.select("r", F.explode(F.arrays_zip("h", "at")).alias("x")).select("r", "x.h", "x.at").join(F.broadcast(own), "h")
         span = F.max("q") - F.min("q") + GRAM
-        near = hits.groupBy("r", "i").agg(span.alias("span"), F.max("size").alias("size"))
+        near = hits.groupBy("r", "i").agg(span.alias("span"), F.max("size").alias("size"), F.min("at").alias("first"), F.max("at").alias("last"))
         near = near.where(F.col("span") >= COVER * F.col("size") - 2 * SLACK)
-        parts.append(near.join(here.select("r", "d", "shown"), "r").join(items.withColumnRenamed("t", "item"), "i").select("d", "i", "item", "shown"))
+        parts.append(near.join(here.select("r", "d", "shown"), "r").join(items.withColumnRenamed("t", "item"), "i").select("d", "i", "item", "shown", "first", "last"))
     found = functools.reduce(DataFrame.unionByName, parts).mapInPandas(extend, f"d {doc_kind}, i {item_kind}, cover double")
     return found.groupBy("d", "i").agg(F.max("cover").alias("cover")).select(F.col("d").alias(key), F.col("i").alias(item_key), "cover")
 
 
 def _regions(docs: DataFrame, kind: str, marks: DataFrame, least: float) -> DataFrame:
-    """``(d, shown, h)``: words and shared fingerprints of each region whose fingerprints span ``least`` words."""
+    """``(d, shown, h, at)``: words, shared fingerprints and their places of each region whose fingerprints span ``least`` words."""
     shared = np.unique(np.array([r[0] for r in marks.select("h").distinct().collect()], dtype=np.int64))
     sought = docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -163,7 +164,7 @@ def _regions(docs: DataFrame, kind: str, marks: DataFrame, least: float) -> Data
                 own = slice(ends[k], ends[k + 1])
                 for begin, end, run in _runs(at[own], len(split[k])):
                     if at[own][run[-1]] - at[own][run[0]] + GRAM >= least:
-                        rows.append((batch["d"].iloc[k], " ".join(split[k][begin:end]), h[own][run]))
-            yield pd.DataFrame(rows, columns=["d", "shown", "h"])
+                        rows.append((batch["d"].iloc[k], " ".join(split[k][begin:end]), h[own][run], (at[own][run] - begin).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["d", "shown", "h", "at"])
 
-    return docs.mapInPandas(read, f"d {kind}, shown string, h array<long>")
+    return docs.mapInPandas(read, f"d {kind}, shown string, h array<long>, at array<int>")

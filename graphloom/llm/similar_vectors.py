@@ -24,7 +24,9 @@ PER_DIRECTION, DIRECTIONS_EACH = 80, 8
 #: The sample that gives the directions is bounded; 64 numbers each are 8 MB at most.
 MOST_DIRECTIONS = 16_384
 #: Sorted projections in a cell, first half-width of a window, its growth, and the share of windows that have to collide.
-PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.6, 1.7, 0.6
+PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.6, 1.8, 0.6
+#: A window finds vectors up to this share of its half-width reliably; one over WIDEST would hold nearly all of a cell.
+REACH, WIDEST = 0.9, 1.5
 #: A larger cell is divided into blocks of so many vectors at most, each pair of which is a task of its own.
 BLOCK = 4096
 _QUERIES_AT_ONCE = 256
@@ -59,7 +61,7 @@ def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndar
         block = np.arange(at, min(at + _QUERIES_AT_ONCE, len(queries)))
         width = WIDTH
         while len(block):
-            if width > 8:
+            if width > WIDEST:
                 candidate = np.ones((len(block), len(base)), dtype=bool)
             else:
                 count = np.zeros((len(block), len(base)), dtype=np.uint8)
@@ -69,22 +71,20 @@ def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndar
                     count += (ranks[p] - low[:, None]).view(np.uint32) < (high - low)[:, None].view(np.uint32)
                 candidate = count >= need
             candidate &= own[block, None] != ids[None, :]
-            enough = candidate.sum(axis=1) >= min(k, len(base) - 1)
-            if width > 8:
-                enough[:] = True
-            done = np.flatnonzero(enough)
-            if len(done):
-                q, c = np.nonzero(candidate[done])
-                if len(q) > DENSE * len(done) * len(base):
-                    cosine = (queries[block[done]] @ base.T)[q, c]
-                else:
-                    cosine = np.einsum("ij,ij->i", queries[block[done][q]], base[c])
-                best = np.lexsort((ids[c], -cosine, q))
-                q, c, cosine = q[best], c[best], cosine[best]
-                first = np.searchsorted(q, q)
-                keep = np.arange(len(q)) - first < k
-                out.append((own[block[done][q[keep]]], ids[c[keep]], cosine[keep]))
-            block, width = block[~enough], width * GROWTH
+            q, c = np.nonzero(candidate)
+            if len(q) > DENSE * candidate.size:
+                cosine = (queries[block] @ base.T)[q, c]
+            else:
+                cosine = np.einsum("ij,ij->i", queries[block[q]], base[c])
+            best = np.lexsort((ids[c], -cosine, q))
+            q, c, cosine = q[best], c[best], cosine[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, c, cosine = q[keep], c[keep], cosine[keep]
+            # A query is done once its windows are sure to hold its k nearest: so many are near enough.
+            near = np.bincount(q[2 - 2 * cosine <= (REACH * width) ** 2], minlength=len(block))
+            done = (near >= k) | (width > WIDEST)
+            out.append((own[block[q[done[q]]]], ids[c[done[q]]], cosine[done[q]]))
+            block, width = block[~done], width * GROWTH
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(x) for x in zip(*out))

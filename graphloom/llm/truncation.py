@@ -141,7 +141,7 @@ def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str]:
             out.append(f"{k}|width {(len(before.rstrip()) > len(line.rstrip())) - (len(before.rstrip()) < len(line.rstrip()))}|{len(before.split()) - len(line.split())}")
     if tokens and (m := _BASE64.search(stripped[-300:])):
         whole = stripped[stripped.rfind(" ") + 1 :]
-        data = re.search(r"[A-Za-z0-9+/]*(=*)\W*$", whole)
+        data = re.search(r"[A-Za-z0-9+/]*(=*)\W*$", whole[-100:])
         out.append(f"image|{data[1]}|{len(whole.rstrip('=)\"')) % 4 if m else ''}|{ending if not ending.isalnum() else 'a'}|nl {newline}")
         out.append(f"image|{k}|{ending if not ending.isalnum() else 'a'}")
     word = _LAST_WORD.search(stripped)
@@ -203,7 +203,8 @@ def _known_words(texts: DataFrame) -> DataFrame:
                 found = _WORD.findall(t)
                 words.update(found[:-1])
             words = {w: n for w, n in words.items() if len(w) <= 40}
-            yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+            if words:
+                yield pd.DataFrame({"word": list(words), "n": list(words.values())})
 
     return texts.select("t").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -241,7 +242,8 @@ def score(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                 rows.append((0.0, f, w, half))
                 for _ in range(CUTS_EACH if len(t) > 60 else 0):
                     rows.append((1.0, *features(cut_artificially(t, rng, own or everywhere), own or everywhere), half))
-            yield pd.DataFrame(rows, columns=["label", "f", "word", "half"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["label", "f", "word", "half"])
 
     described = cut(texts.mapInPandas(describe, f"k {kind}, s string, f array<string>, word string"))
     share = TRAIN_TEXTS / max(1, described.count())
