@@ -88,6 +88,7 @@ class OrphanLedger:
         holds before that time, so that resolved references of earlier times, and those without
         a time, are let go. ``hot``: names with a great share of the references, where known.
         """
+        references, parents = references.select("tbl", "rec_id", "name", "at"), parents.select("pid", "name", "start", "end")
         keys = parents.select("pid", "name").distinct()
         known = self.parents.join(keys, ["pid", "name"], "left_anti").unionByName(parents)
         touched = parents.select("name").where("name is not null").distinct()
