@@ -50,19 +50,19 @@ def exact_neighbours(queries: DataFrame, base: DataFrame, m: int) -> DataFrame:
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     parts = base.sparkSession.sparkContext.defaultParallelism
-    left = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = queries.select(F.col("id").alias("src"), F.col("vector").alias("x")).withColumn("q", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = base.select(F.col("id").alias("dst"), F.col("vector").alias("y")).withColumn("b", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"src": [], "dst": [], "w": []})
         if a.empty or b.empty:
             return none
-        size = a["vector"].map(len).mode().iloc[0]
-        a, b = a[a["vector"].map(len) == size], b[b["vector"].map(len) == size]
+        size = a["x"].map(len).mode().iloc[0]
+        a, b = a[a["x"].map(len) == size], b[b["y"].map(len) == size]
         if b.empty:
             return none
-        x, y = _rows(a["vector"]), _rows(b["vector"])
-        src, dst = a["id"].to_numpy(), b["id"].to_numpy()
+        x, y = _rows(a["x"]), _rows(b["y"])
+        src, dst = a["src"].to_numpy(), b["dst"].to_numpy()
         out = []
         for at in range(0, len(x), 256):
             similar = x[at : at + 256] @ y.T
