@@ -131,10 +131,11 @@ def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str]:
         f"{k}|last {'|'.join(ends)}", f"{k}|last {'|'.join(ends[-2:])}", f"{k}|words {' '.join(tokens[-1:])}", f"{k}|words {' '.join(tokens[-2:])}",
         f"{k}|full {own}", f"{k}|balance {_balance(line)}", f"{k}|terminal {terminal}", f"{k}|known {own in others}|{ending}",
         f"{k}|start {' '.join(tokens[:2])}|terminal {terminal}", f"{k}|empty {not stripped}",
-        f"words {' '.join(tokens[-1:])}|nl {newline}", f"words {' '.join(tokens[-3:])}", f"full {own}|nl {newline}",
+        f"words {' '.join(tokens[-1:])}|nl {newline}", f"words {' '.join(tokens[-2:])}|nl {newline}", f"words {' '.join(tokens[-3:])}", f"full {own}|nl {newline}",
     ]
     if before:
         other = before.strip()
+        out.append(f"{k}|echo {bool(stripped) and other.startswith((stripped + ' =', stripped + ' <-'))}")
         out.append(f"{k}|like {shape(before) == own}|{len(before.rstrip()) - len(line.rstrip()) if 'result' in kind and abs(len(before) - len(line)) < 2 else 'x'}")
         out.append(f"{k}|end before {other.rstrip(chr(34) + chr(39) + '`*_)').endswith(_TERMINAL)}|{terminal}")
         if "result" in kind:
