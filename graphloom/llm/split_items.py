@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH, OVERLAP = 1022, 254
-#: Costs of a cut: at a stop mark, in a masked stretch, in a linker, and anywhere else.
-STOP, MASKED, LINKER, ELSEWHERE = 0.0, 0.2, 0.4, 4.0
+#: Costs of a cut: at a stop mark, in a masked stretch, in a linker, and anywhere else, which is the last resort.
+STOP, MASKED, LINKER, ELSEWHERE = 0.0, 0.2, 0.4, 50.0
 #: What a piece that misses the even share by all of it costs.
 IMBALANCE = 1.0
 #: Cuts without a natural boundary lie on this grid.
@@ -26,6 +26,8 @@ _HARD_MASK = re.compile(rf"[Xx]{{{LONG},}}")
 _SOFT_MASK = re.compile(rf"[a-z]{{{LONG},}}")
 #: A short unit that is repeated, such as GGGGSGGGGS or PPEKPPEK, or one residue again and again.
 _REPEAT = re.compile(r"(?i)([a-z]{1,6}?)\1{2,}")
+#: A run of residues that keep no fold.
+_FLEXIBLE = re.compile(r"(?i)[gskeqp]{12,}")
 
 
 def residues(seq: Column) -> Column:
@@ -50,7 +52,7 @@ def boundaries(seq: str, length: int) -> tuple[np.ndarray, np.ndarray]:
             offer(p, STOP)
     letters = _NOT_RESIDUE.sub("", seq)
     soft = not letters.islower()  # all in lower case is a way to write, not a mask
-    for pattern, c in ((_HARD_MASK, MASKED), *(((_SOFT_MASK, MASKED),) if soft else ()), (_REPEAT, LINKER)):
+    for pattern, c in ((_HARD_MASK, MASKED), *(((_SOFT_MASK, MASKED),) if soft else ()), (_REPEAT, LINKER), (_FLEXIBLE, LINKER)):
         for m in pattern.finditer(letters):
             if m.end() - m.start() >= LONG:
                 for p in {m.start(), (m.start() + m.end()) // 2, m.end()}:
