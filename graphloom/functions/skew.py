@@ -4,11 +4,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 128) -> list:
-    """Keys that hold more than one row in ``share``: fewer than ``share`` of them, whatever the size."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("__n") * share > total).select(key).collect()]
+#: A key with fewer rows is no burden to a task, whatever its share.
+LEAST_ROWS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, share: int = 128, least: int = LEAST_ROWS) -> list:
+    """Keys that hold more than one row in ``share``, and ``least`` rows: fewer than ``share`` of them, whatever the size."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    top = counts.orderBy(F.desc("__n")).limit(share).collect()
+    total = df.count() if top else 0
+    return [r[0] for r in top if r["__n"] * share > total]
 
 
 def salt(key: str, by: Column, hot: list, salts: int) -> Column:

@@ -54,6 +54,7 @@ def held_spans(parents: DataFrame) -> DataFrame:
 
 def probe(references: DataFrame, parents: DataFrame, hot: list | None = None, salts: int = 32) -> DataFrame:
     """``references`` with ``orphan``; references of the ``hot`` names are spread over ``salts`` tasks."""
+    references = references.select("tbl", "rec_id", "name", "at")
     hot = skew.hot_keys(references, "name") if hot is None else hot
     index = skew.replicate(held_spans(parents), "name", hot, salts)
     holds = F.exists("spans", lambda s: (F.col("at") >= s["start"]) & (F.col("at") < s["end"]))

@@ -31,7 +31,7 @@ def test_former_ids(spark, monkeypatch):
 def test_salted_join_is_a_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [("a", 1), (None, 2)], "k string, n int")
     right = spark.createDataFrame([("hot", "x"), ("a", "y"), ("b", "z")], "k string, t string")
-    hot = skew.hot_keys(left, "k", 4)
-    assert hot == ["hot"]
+    hot = skew.hot_keys(left, "k", 4, 1)
+    assert hot == ["hot"] and skew.hot_keys(left, "k", 4) == []
     got = left.withColumn("salt", skew.salt("k", F.col("n"), hot, 7)).join(skew.replicate(right, "k", hot, 7), ["k", "salt"], "left")
     assert got.groupBy("k", "t").count().orderBy("count", "k").collect() == left.join(right, "k", "left").groupBy("k", "t").count().orderBy("count", "k").collect()

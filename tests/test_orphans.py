@@ -61,6 +61,12 @@ def test_arrival_in_any_order(spark):
     assert waiting(state) == {2, 3}
 
 
+def test_salted_batches(spark, monkeypatch):
+    monkeypatch.setattr(O.skew, "hot_keys", lambda *_: ["hot"])
+    refs, parents = case(7)
+    assert {(x.tbl, x.rec_id) for x in O.in_batches(*frames(spark, refs, parents), ["2023-09-15"]).pending.collect()} == brute(refs, parents)
+
+
 def test_empty(spark):
     r, p = frames(spark, [], [])
     assert O.in_batches(r, p, ["2023-06-01"]).pending.count() == 0
@@ -71,5 +77,5 @@ def test_empty(spark):
 def test_probe(spark, seed):
     refs, parents = case(seed, 80)
     r, p = frames(spark, refs, parents)
-    got = {(x.tbl, x.rec_id) for x in O.probe(r.drop("salt"), p.drop("spans")).where(F.col("orphan")).collect()}
+    got = {(x.tbl, x.rec_id) for x in O.probe(r, p, ["hot"]).where(F.col("orphan")).collect()}
     assert got == brute(refs, parents)
