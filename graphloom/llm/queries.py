@@ -27,7 +27,7 @@ def current_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The usable rows of ``node_embeddings``, of several of one node (or unknown id or text) the last loaded."""
     e = table(spark, folder, "node_embeddings").where(similar_vectors.usable(F.col("emb"), 64))
     former = ids.former_ids(table(spark, folder, "nodes"))
-    named = ids.resolve(e.select("rec_id", "ids", "loaded_at", ids.canonical(F.col("ids")).alias("node")), ["node"], former)
+    named = ids.resolve(ids.with_canonical(e.select("rec_id", "ids", "loaded_at"), node="ids"), ["node"], former)
     by = F.when(ids.is_blank(F.col("ids")), F.concat(F.lit("row "), "rec_id")).otherwise(F.coalesce("node", F.concat(F.lit("text "), "ids")))
     last = named.groupBy(by.alias("by")).agg(F.max(F.struct("loaded_at", "rec_id")).alias("last"))
     return e.select("rec_id", "emb").join(last.select("last.rec_id"), "rec_id", "left_semi")
@@ -47,8 +47,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_top(spark: SparkSession, folder: str) -> DataFrame:
     """With weight and rank; see ``p4_found``."""
-    rows = table(spark, folder, "signal_parts").select(ids.canonical(F.col("u")).alias("u"), ids.canonical(F.col("v")).alias("v"), "w")
-    return top_items.top_items(rows.where("u <> v and w > 0 and not isnan(w)"), "u", "v", "w", 10)
+    rows = table(spark, folder, "signal_parts").select("u", "v", "w").where("w > 0 and not isnan(w)")
+    return top_items.top_items(ids.with_canonical(rows, u="u", v="v").where("u <> v"), "u", "v", "w", 10)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,9 +60,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _edges(spark: SparkSession, folder: str, split: str, former: DataFrame) -> DataFrame:
     """``id, text, split, source``; the text has the two nodes in order, so that direction doesn't count."""
-    edges = table(spark, folder, f"{split}_pos_edges").select(
-        F.col("edge_id").alias("id"), ids.canonical(F.col("u")).alias("a"), ids.canonical(F.col("v")).alias("b"), "source"
-    )
+    rows = table(spark, folder, f"{split}_pos_edges").select(F.col("edge_id").alias("id"), "u", "v", "source")
+    edges = ids.with_canonical(rows, a="u", b="v").select("id", "a", "b", "source")
     edges = ids.resolve(edges.where("a is not null and b is not null"), ["a", "b"], former).where("a <> b")
     return edges.select("id", F.concat_ws(" ", F.least("a", "b"), F.greatest("a", "b")).alias("text"), F.lit(split).alias("split"), "source")
 
