@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import skew
 
 DEFAULT_TAXON = "7701"
+USUAL_PATTERN = r"^\d+\.FMPP\d{11}$"
 ID_PATTERN = r"(?i)^[\s ]*(?:(\d+)\.)?FMPP(\d{11})(?:\.\d+)?[\s ]*$"
 
 
@@ -18,10 +19,19 @@ def canonical(text: Column) -> Column:
     """Canonical spelling of the id in ``text``; NULL where it is malformed, blank or NULL."""
     taxon = F.regexp_extract(text, ID_PATTERN, 1)
     digits = F.regexp_extract(text, ID_PATTERN, 2)
-    return F.when(
-        digits != "",
-        F.concat(F.when(taxon == "", F.lit(DEFAULT_TAXON)).otherwise(taxon), F.lit(".FMPP"), digits),
-    )
+    written = F.concat(F.when(taxon == "", F.lit(DEFAULT_TAXON)).otherwise(taxon), F.lit(".FMPP"), digits)
+    return F.when(text.rlike(USUAL_PATTERN), text).when(digits != "", written)
+
+
+def with_canonical(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with canonical ids as new columns, ``name=column``.
+
+    They come out of a generator of one row, which filters on them are not moved below: each
+    pattern is matched once a row, not again in every filter.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    made = F.struct(*(canonical(F.col(f"`{old}`")).alias(new) for new, old in columns.items()))
+    return df.select(*(F.col(f"`{c}`") for c in rest), F.inline(F.array(made)))
 
 
 def is_blank(text: Column) -> Column:
@@ -35,7 +45,7 @@ def former_ids(nodes: DataFrame) -> DataFrame:
     A former id that is itself the id of a node stays that node and is left out. Where two
     nodes claim a former id, the smaller id has it.
     """
-    named = nodes.select(canonical(F.col("alias")).alias("name"), canonical(F.col("id")).alias("node"))
+    named = with_canonical(nodes.select("id", "alias"), name="alias", node="id").select("name", "node")
     held = named.where("node is not null").select(F.col("node").alias("name")).distinct()
     return (
         named.where("name is not null and node is not null")

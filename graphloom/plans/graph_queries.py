@@ -20,11 +20,12 @@ SPLITS = ("train", "val", "test")
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
     """Directed rows of the part files with canonical ids; ``line_no`` is their order."""
-    return _canonical(table(spark, folder, "signal_parts")).select("u", "v", "w", F.col("rec_id").alias("line_no"))
+    rows = table(spark, folder, "signal_parts").select("u", "v", "w", F.col("rec_id").alias("line_no"))
+    return _canonical(rows).select("u", "v", "w", "line_no")
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    return df.withColumns({"u": ids.canonical(F.col("u")), "v": ids.canonical(F.col("v"))}).where("u is not null and v is not null")
+    return ids.with_canonical(df, u="u", v="v").where("u is not null and v is not null")
 
 
 def signal(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,9 +18,9 @@ BATCH_ENDS = ["2023-07-01", "2024-01-01", "2024-07-01"]
 def node_references(spark: SparkSession, folder: str) -> DataFrame:
     """The ids that name something in the three tables; blank ones are no references."""
     parts = [
-        table(spark, folder, tbl)
-        .where(~ids.is_blank(F.col(ref)))
-        .select(F.lit(tbl).alias("tbl"), "rec_id", ids.canonical(F.col(ref)).alias("name"), F.col(at).alias("at"))
+        ids.with_canonical(table(spark, folder, tbl).select(F.lit(tbl).alias("tbl"), "rec_id", ref, F.col(at).alias("at")), name=ref)
+        .where(F.col("name").isNotNull() | ~ids.is_blank(F.col(ref)))
+        .select("tbl", "rec_id", "name", "at")
         for tbl, (ref, at) in REFERENCE_COLUMNS.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -29,12 +29,8 @@ def node_references(spark: SparkSession, folder: str) -> DataFrame:
 def node_parents(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of ``nodes`` under each name of their node: its id and its former ids."""
     nodes = table(spark, folder, "nodes")
-    held = nodes.select(
-        F.col("rec_id").alias("pid"),
-        ids.canonical(F.col("id")).alias("name"),
-        F.col("loaded_at").alias("start"),
-        F.col("retired_at").alias("end"),
-    )
+    rows = nodes.select(F.col("rec_id").alias("pid"), "id", F.col("loaded_at").alias("start"), F.col("retired_at").alias("end"))
+    held = ids.with_canonical(rows, name="id").select("pid", "name", "start", "end")
     former = ids.former_ids(nodes).withColumnRenamed("name", "former")
     under_former = held.join(former, held["name"] == former["node"]).select("pid", F.col("former").alias("name"), "start", "end")
     return held.unionByName(under_former)

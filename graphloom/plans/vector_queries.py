@@ -69,7 +69,7 @@ def rank_corr(spark, folder):
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """``(id, seq)`` of the FASTA records: of repeated headers the last, without empty bodies."""
-    rows = table(spark, folder, "seqs").select(ids.canonical(F.col("id")).alias("id"), sequences.residues(F.col("seq")).alias("seq"), "rec_id")
+    rows = ids.with_canonical(table(spark, folder, "seqs").select("id", "seq", "rec_id"), id="id").withColumn("seq", sequences.residues(F.col("seq")))
     return sequences.last_of_id(rows.where("id is not null"), "rec_id").where("length(seq) > 0")
 
 
