@@ -38,7 +38,7 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = p3_neighbours(spark, folder).where("cosine > 0.85")
+    near = similar_vectors.most_similar(current_vectors(spark, folder), "rec_id", "emb", least=0.85)
     return near.select(F.least("rec_id", "neighbour").alias("rec_a"), F.greatest("rec_id", "neighbour").alias("rec_b")).distinct()
 
 

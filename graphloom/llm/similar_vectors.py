@@ -24,7 +24,7 @@ PER_DIRECTION, DIRECTIONS_EACH = 80, 8
 #: The sample that gives the directions is bounded; 64 numbers each are 8 MB at most.
 MOST_DIRECTIONS = 16_384
 #: Sorted projections in a cell, first half-width of a window, its growth, and the share of windows that have to collide.
-PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.6, 1.8, 0.6
+PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.62, 1.8, 0.6
 #: A window finds vectors up to this share of its half-width reliably; one over WIDEST would hold nearly all of a cell.
 REACH, WIDEST = 0.9, 1.5
 #: A larger cell is divided into blocks of so many vectors at most, each pair of which is a task of its own.
@@ -33,6 +33,8 @@ _QUERIES_AT_ONCE = 256
 #: From this share of candidates on, a matrix product verifies them faster than one by one.
 DENSE = 0.05
 SALTS = 32
+#: Columns of a block in the search for the farthest directions.
+COLUMNS = 64
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -47,8 +49,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query id, id, cosine)`` of the up to ``k`` most similar candidates of each query among ``base``."""
+def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, seed: int, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query id, id, cosine)`` of the up to ``k`` most similar candidates of each query among ``base``.
+
+    Neighbours at a distance over ``far`` are not looked for.
+    """
     lines = np.random.default_rng(seed).standard_normal((base.shape[1], PROJECTIONS))
     table, mine = base @ lines, queries @ lines
     order = np.argsort(table, axis=0, kind="stable")
@@ -82,7 +87,7 @@ def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndar
             q, c, cosine = q[keep], c[keep], cosine[keep]
             # A query is done once its windows are sure to hold its k nearest: so many are near enough.
             near = np.bincount(q[2 - 2 * cosine <= (REACH * width) ** 2], minlength=len(block))
-            done = (near >= k) | (width > WIDEST)
+            done = (near >= k) | (width > WIDEST) | (REACH * width >= far)
             out.append((own[block[q[done[q]]]], ids[c[done[q]]], cosine[done[q]]))
             block, width = block[~done], width * GROWTH
     if not out:
@@ -90,6 +95,23 @@ def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _farthest(reach: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``each`` greatest numbers of each row.
+
+    The greatest of blocks of columns bound them from below, so that few numbers have to be sorted.
+    """
+    n, d = reach.shape
+    blocks = reach[:, : d // COLUMNS * COLUMNS].reshape(n, -1, COLUMNS).max(axis=2)
+    if blocks.shape[1] <= each:
+        return np.repeat(np.arange(n), each), np.argpartition(-reach, each - 1, axis=1)[:, :each].ravel()
+    bound = np.partition(blocks, blocks.shape[1] - each, axis=1)[:, blocks.shape[1] - each]
+    row, column = np.nonzero(reach >= bound[:, None])
+    order = np.lexsort((column, -reach[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < each
+    return row[keep], column[keep]
+
+
 def _directions(vectors: DataFrame, n: int) -> np.ndarray:
     """A sample of the vectors that is the same on each run; as many as keep cells at their size."""
     wanted = int(min(MOST_DIRECTIONS, max(1, n // PER_DIRECTION)))
@@ -97,11 +119,12 @@ def _directions(vectors: DataFrame, n: int) -> np.ndarray:
     return _matrix(rows["vector"]).astype(np.float32)
 
 
-def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
+def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, least: float = -1.0) -> DataFrame:
     """``(key, neighbour, cosine, rank)``: the ``k`` most similar vectors of each vector, itself left out.
 
     Only usable vectors take part (see ``usable``). Similarity is the cosine in double precision;
-    of equal ones the smaller key comes first. The search is approximate. Exact copies of a
+    of equal ones the smaller key comes first. Neighbours of a cosine up to ``least`` are left out, which
+    saves the search for them. The search is approximate. Exact copies of a
     vector are searched once and their rows ranked afterwards, so that a group of copies
     of any size costs no pairs within it. ``key`` has to be unique and of an integer type. An
     empty input gives an empty result.
@@ -110,7 +133,7 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int =
     rows = df.where(usable(F.col(f"`{vector}`"), size)).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vector"))
     rows = cut(rows.withColumn("h", F.xxhash64("vector")))
     classes = cut(rows.groupBy("h", "vector").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
-    found = cut(_ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k), k))
+    found = cut(_ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k, least), k))
     return _expand(_copies(rows, classes), found, k).select(F.col("id").alias(key), "neighbour", "cosine", "rank")
 
 
@@ -128,7 +151,7 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
+def _cell_neighbours(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """``(id, neighbour, cosine)``: the best of each cell."""
     spark = vectors.sparkSession
     n = vectors.count()
@@ -143,8 +166,8 @@ def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
                 reach = _matrix(part["vector"]).astype(np.float32) @ lines
-                cells = np.argpartition(-reach, each - 1, axis=1)[:, :each]
-                yield part.iloc[np.repeat(np.arange(len(part)), each)].assign(cell=cells.ravel().astype(np.int32))
+                row, cell = _farthest(reach, each)
+                yield part.iloc[row].assign(cell=cell.astype(np.int32))
 
     placed = cut(vectors.mapInPandas(assign, "id long, vector array<float>, cell int"))
     # MOST_DIRECTIONS numbers at most; cells over BLOCK vectors are few.
@@ -159,13 +182,16 @@ def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
     placed = placed.withColumn("block", block).withColumn("other", F.explode(others))
     tasks = placed.select("cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "vector")
 
+    far = float(np.sqrt(max(0.0, 2 - 2 * least)))
+
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         a, b, seed = group["a"].iloc[0], group["b"].iloc[0], int(group["cell"].iloc[0])
         ids, own, m = group["id"].to_numpy(), group["block"].to_numpy(), _matrix(group["vector"])
         found = []
         for x, y in {(a, b), (b, a)}:
-            found.append(_search(m[own == x], ids[own == x], m[own == y], ids[own == y], k, seed))
-        return pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), (np.concatenate(c) for c in zip(*found)))))
+            found.append(_search(m[own == x], ids[own == x], m[own == y], ids[own == y], k, seed, far))
+        found = pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), (np.concatenate(c) for c in zip(*found)))))
+        return found[found["cosine"] > least]
 
     return tasks.groupBy("cell", "a", "b").applyInPandas(verify, "id long, neighbour long, cosine double")
 

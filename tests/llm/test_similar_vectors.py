@@ -56,3 +56,14 @@ def test_large_cells_are_divided(spark, monkeypatch):
     x = np.random.default_rng(2).standard_normal((60, 8))
     ids = np.arange(60)
     assert recall(run(spark, list(zip(ids.tolist(), x))), exact(x, ids, 5)) >= 0.97
+
+
+def test_farthest():
+    from graphloom.llm.similar_vectors import _farthest
+
+    x = np.random.default_rng(3).standard_normal((50, 1500)).astype(np.float32)
+    for d in (9, 300, 1500):
+        row, column = _farthest(x[:, :d], 8)
+        want = np.sort(np.argsort(-x[:, :d], axis=1)[:, :8], axis=1)
+        assert np.array_equal(row, np.repeat(np.arange(50), 8))
+        assert np.array_equal(np.sort(column.reshape(50, 8), axis=1), want)
