@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from . import edges as E
 from .normalize import gate, over_graph, over_source, top_per_source
 from .vectors import exact_neighbours
@@ -32,17 +33,34 @@ def from_candidates(scored: DataFrame, top: int, only_positive: bool = True) ->
     return E.positive(merged) if only_positive else merged
 
 
-def scored_graph(candidates: DataFrame, items: DataFrame, score: Column, top: int = 20, norm: str = "sigmoid_z", temperature: float = 1.0) -> DataFrame:
+def with_items(pairs: DataFrame, items: DataFrame, sources_at_once: int | None = None) -> DataFrame:
+    """``pairs(src, dst)`` with the items of both ends as structs ``a`` and ``b``; pairs without them are left out.
+
+    Few sources with many pairs each: with ``sources_at_once``, the items of so many sources are broadcast
+    at a time, so that no item is shuffled once a pair.
+    """
+    rest = F.struct(*[c for c in items.columns if c != "id"])
+    a, b = items.select(F.col("id").alias("src"), rest.alias("a")), items.select(F.col("id").alias("dst"), rest.alias("b"))
+    if sources_at_once is None:
+        return pairs.join(a, "src").join(b, "dst")
+    a = cut(a.join(pairs.select("src").distinct(), "src", "left_semi"))
+    blocks, out = max(1, -(-a.count() // sources_at_once)), None
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("src"), F.lit(blocks)) == k
+        part = pairs.where(mine).join(b.hint("merge"), "dst").join(F.broadcast(a.where(mine)), "src")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def scored_graph(candidates: DataFrame, items: DataFrame, score: Column, top: int = 20, norm: str = "sigmoid_z", temperature: float = 1.0, sources_at_once: int | None = None) -> DataFrame:
     """Undirected graph of candidate pairs ``src, dst`` weighed by ``score``.
 
     ``items`` has ``id`` and whatever ``score`` reads, as ``a.<column>`` of the source and
     ``b.<column>`` of the target; ``score`` may be an expression or call a vectorized UDF, such
     as those of ``scorers``. Scores that are no finite numbers count as 0. They are normalised
-    over the candidates of a source before the ``top`` are taken.
+    over the candidates of a source before the ``top`` are taken. ``sources_at_once``: see ``with_items``.
     """
-    a = items.select(F.col("id").alias("src"), F.struct(*[c for c in items.columns if c != "id"]).alias("a"))
-    b = items.select(F.col("id").alias("dst"), F.struct(*[c for c in items.columns if c != "id"]).alias("b"))
-    pairs = candidates.select("src", "dst").join(a, "src").join(b, "dst").withColumn("w", score.cast("double"))
+    pairs = with_items(candidates.select("src", "dst"), items, sources_at_once).withColumn("w", score.cast("double"))
     sound = F.when(F.isnan("w") | (F.abs("w") == float("inf")), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
     return from_candidates(over_source(pairs.select("src", "dst", sound.alias("w")), norm, temperature=temperature), top)
 

@@ -70,6 +70,9 @@ def pair_features(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         hot = skew.hot_keys(pairs, end)
         side = skew.replicate(vectors.select(F.col("id").alias(end), F.col("vector").alias(f"__{end}")), end, hot, 16, "__salt")
         pairs = pairs.withColumn("__salt", skew.salt(end, F.monotonically_increasing_id(), hot, 16)).join(side, [end, "__salt"]).drop("__salt")
-    a, b = F.col("__u"), F.col("__v")
+    return pairs.withColumn("x", features(F.col("__u"), F.col("__v"))).drop("__u", "__v")
+
+
+def features(a: Column, b: Column) -> Column:
     x = F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))
-    return pairs.withColumn("x", F.transform(x, lambda e: e.cast("double"))).drop("__u", "__v")
+    return F.transform(x, lambda e: e.cast("double"))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .graphs import from_candidates
-from .splits import negatives, pair_features
+from .graphs import from_candidates, with_items
+from .splits import features, negatives, pair_features
 
 PENALTIES = (0.0001, 0.001, 0.01)
 _SURE = 1e-12
@@ -36,12 +36,16 @@ def train(examples: DataFrame, held_out: DataFrame, penalties: tuple[float, ...]
     return best[1]
 
 
-def supervised_graph(candidates: DataFrame, vectors: DataFrame, model, top: int = 20, form: str = "sigmoid") -> DataFrame:
+def supervised_graph(candidates: DataFrame, vectors: DataFrame, model, top: int = 20, form: str = "sigmoid", sources_at_once: int | None = None) -> DataFrame:
     """Undirected graph of ``candidates(src, dst)`` weighed by the model's probability, or its logit.
 
-    Logits may be negative, so no weight is left out for its sign.
+    Logits may be negative, so no weight is left out for its sign. ``sources_at_once``: see ``graphs.with_items``.
     """
-    pairs = candidates.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    scored = model.transform(pair_features(pairs, vectors).withColumn("x", array_to_vector("x")))
+    if sources_at_once is None:
+        pairs = pair_features(candidates.select(F.col("src").alias("u"), F.col("dst").alias("v")), vectors)
+    else:
+        pairs = with_items(candidates.select("src", "dst"), vectors.select("id", "vector"), sources_at_once)
+        pairs = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"), features(F.col("a.vector"), F.col("b.vector")).alias("x"))
+    scored = model.transform(pairs.withColumn("x", array_to_vector("x")))
     column = {"sigmoid": "probability", "logit": "rawPrediction"}[form]
     return from_candidates(scored.select(F.col("u").alias("src"), F.col("v").alias("dst"), vector_to_array(column)[1].alias("w")), top, only_positive=False)

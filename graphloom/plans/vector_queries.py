@@ -1,6 +1,7 @@
 """Queries over embeddings and sequences.
 
-Searches take as queries every row whose id is divisible by 20 and look among all rows.
+Searches take as queries every row whose id is divisible by 20 and look among all rows; of node ids
+the eleven digits count.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from .orphan_queries import canonical_sql
 from .tables import table
 
 CANDIDATES, TOP, EVERY = 20, 10, 20
+#: Candidates of a node and those kept, as the reference has them; sources whose items are broadcast at once.
+NEAREST, HEAVIEST, AT_ONCE = 500, 20, 4096
+SIZE = 64
 WINDOW, STRIDE = 1022, 768
 
 
@@ -26,6 +30,21 @@ def _queries(base: DataFrame) -> DataFrame:
     return base.where(F.col("id") % EVERY == 0)
 
 
+def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """``(id, vector)`` of the listed nodes: of the usable rows of a node, under its id or a former one, the last loaded."""
+    v = F.col("emb")
+    usable = F.coalesce((F.size(v) == SIZE) & vectors.finite(v) & F.exists(v, lambda x: x != 0), F.lit(False))
+    nodes = table(spark, folder, "nodes")
+    rows = ids.with_canonical(table(spark, folder, "node_embeddings").where(usable).select("ids", "emb", "loaded_at", "rec_id"), id="ids")
+    named = ids.resolve(rows.where("id is not null"), ["id"], ids.former_ids(nodes))
+    last = named.groupBy("id").agg(F.max_by("emb", F.struct("loaded_at", "rec_id")).alias("vector"))
+    return last.join(nodes.select(ids.canonical(F.col("id")).alias("id")), "id", "left_semi")
+
+
+def _node_queries(base: DataFrame) -> DataFrame:
+    return base.where(F.substring_index("id", "FMPP", -1).cast("long") % EVERY == 0)
+
+
 def cosine_topm(spark, folder):
     base = embeddings(spark, folder)
     return vectors.exact_neighbours(_queries(base), base, CANDIDATES).select("src", "dst", F.round("w", 6).alias("cos"), "rank")
@@ -119,6 +138,15 @@ def pair_scored_jaccard(spark, folder):
     return out.withColumn("w", F.round("w", 6))
 
 
+def pair_scored_candidates(spark, folder):
+    """The nearest nodes by embedding, of those that have a sequence, weighed by shared 3-mers and scaled over each source."""
+    items = cut(records(spark, folder).select("id", scorers.kmer_codes(F.col("seq")).alias("kmers")))
+    base = cut(node_vectors(spark, folder).join(items, "id", "left_semi"))
+    near = vectors.exact_neighbours(_node_queries(base), base, NEAREST)
+    out = graphs.scored_graph(near, items, scorers.jaccard(F.col("a.kmers"), F.col("b.kmers")), HEAVIEST, "minmax", sources_at_once=AT_ONCE)
+    return out.withColumn("w", F.round("w", 6))
+
+
 def embed_pooled(spark, folder):
     """Sequences encoded window by window and averaged over their windows; the composition stands in for a model."""
     parts = sequences.windows(records(spark, folder), "id", "seq", WINDOW, STRIDE)
@@ -138,12 +166,13 @@ def pair_features(spark, folder):
 
 
 def supervised_graph(spark, folder):
-    """A classifier of the prior's pairs, trained on the training part, weighs the pairs of all parts."""
-    held = cut(_compositions(spark, folder))
+    """A classifier of the prior's pairs, trained on the training part, weighs the nearest nodes by embedding."""
+    held = cut(node_vectors(spark, folder).select("id", vectors.unit(F.col("vector")).alias("vector")))
     parted = cut(splits.edge_split(prior(spark, folder)))
     train, val = (supervised.labelled(parted.where(F.col("split") == s), held) for s in ("train", "val"))
     model = supervised.train(train, val)
-    return supervised.supervised_graph(E.both_ways(parted.select("u", "v")), held, model, TOP)
+    near = vectors.exact_neighbours(_node_queries(held), held, NEAREST)
+    return supervised.supervised_graph(near, held, model, HEAVIEST, sources_at_once=AT_ONCE)
 
 
 QUERIES = {
@@ -151,6 +180,7 @@ QUERIES = {
     for f in (
         cosine_topm, knn_cos_pos, knn_row_softmax, emb_unit, emb_norm_quantiles, emb_finite_check, cos_top1_quantiles, rank_corr, seq_prepare,
         seq_missing, seq_windows, seq_length_bucket, seq_layout, seq_linker_pairs, pair_scored_jaccard, embed_pooled, pair_features, supervised_graph,
+        pair_scored_candidates,
     )
 }
 
@@ -160,6 +190,23 @@ p AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) / (a.s * b.s)
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM p)"""
 _KNN = """, m AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY x DESC, dst) AS k FROM c)
 SELECT least(src, dst) AS u, greatest(src, dst) AS v, round(max(x), 6) AS w FROM m WHERE k <= 10 GROUP BY 1, 2 HAVING max(x) > 0"""
+_NODE_VECTORS = f"""names_ AS (SELECT {canonical_sql("id")} AS name, {canonical_sql("alias")} AS former FROM nodes),
+former_ AS (SELECT former, min(name) AS node FROM names_ WHERE former IS NOT NULL AND name IS NOT NULL AND former NOT IN (SELECT name FROM names_ WHERE name IS NOT NULL) GROUP BY former),
+usable_ AS (SELECT {canonical_sql("ids")} AS name, list_transform(emb, lambda e: CAST(e AS DOUBLE)) AS v, loaded_at, rec_id FROM node_embeddings
+ WHERE len(emb) = {SIZE} AND len(list_filter(emb, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(emb, lambda e: e <> 0)) > 0),
+last_ AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS k
+ FROM (SELECT coalesce(node, name) AS id, v, loaded_at, rec_id FROM usable_ LEFT JOIN former_ ON former = name)),
+node_vectors AS (SELECT id, v FROM last_ WHERE k = 1 AND id IN (SELECT name FROM names_))"""
+
+
+def _node_cos(rows: str) -> str:
+    return f"""n AS (SELECT id, v, sqrt(list_dot_product(v, v)) + 1e-12 AS s FROM {rows}),
+    p AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) / (a.s * b.s) AS w FROM n a JOIN n b ON a.id <> b.id WHERE CAST(split_part(a.id, 'FMPP', 2) AS BIGINT) % {EVERY} = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM p)"""
+
+
+_HEAVIEST = f""", m AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY x DESC, dst) AS k FROM c)
+SELECT least(src, dst) AS u, greatest(src, dst) AS v, round(max(x), 6) AS w FROM m WHERE k <= {HEAVIEST} GROUP BY 1, 2 HAVING max(x) > 0"""
 _RESIDUES = "upper(regexp_replace(seq, '[^A-Za-z]', '', 'g'))"
 _RECORDS = f"""raw AS (SELECT {canonical_sql("id")} AS id, {_RESIDUES} AS seq, rec_id FROM seqs),
 records AS (SELECT * FROM (SELECT id, arg_max(seq, rec_id) AS seq FROM raw WHERE id IS NOT NULL AND seq IS NOT NULL GROUP BY id) WHERE length(seq) > 0)"""
@@ -201,6 +248,11 @@ SQL = {
      s AS (SELECT src, dst, len(list_intersect(x.k, y.k)) AS c, len(x.k) + len(y.k) AS t FROM b JOIN k x ON x.id = src JOIN k y ON y.id = dst),
      j AS (SELECT src, dst, c / CAST(t - c AS DOUBLE) AS w FROM s), o AS (SELECT *, min(w) OVER (PARTITION BY src) AS lo, max(w) OVER (PARTITION BY src) AS hi FROM j),
      c AS (SELECT src, dst, CASE WHEN hi <= lo + 1e-12 THEN 0 ELSE (w - lo) / (hi - lo) END AS x FROM o) {_KNN}""",
+    "pair_scored_candidates": f"""WITH {_RECORDS}, {_NODE_VECTORS}, {_node_cos("node_vectors WHERE id IN (SELECT id FROM records)")},
+     k AS (SELECT id, list_distinct(list_transform(range(1, greatest(1, length(seq) - 2) + 1), lambda i: substr(seq, i, 3))) AS k FROM records),
+     s AS (SELECT src, dst, len(list_intersect(x.k, y.k)) AS c, len(x.k) + len(y.k) AS t FROM r JOIN k x ON x.id = src JOIN k y ON y.id = dst WHERE rank <= {NEAREST}),
+     j AS (SELECT src, dst, c / CAST(t - c AS DOUBLE) AS w FROM s), o AS (SELECT *, min(w) OVER (PARTITION BY src) AS lo, max(w) OVER (PARTITION BY src) AS hi FROM j),
+     c AS (SELECT src, dst, CASE WHEN hi <= lo + 1e-12 THEN 0 ELSE (w - lo) / (hi - lo) END AS x FROM o) {_HEAVIEST}""",
     "pair_features": f"""WITH {_RECORDS}, {_PAIRS}, l AS (SELECT unnest([{_ALPHABET}]) AS c), q AS (SELECT id, c, length(seq) - length(replace(seq, c, '')) AS n FROM records, l),
      f AS (SELECT id, c, CAST(n / greatest(1, sum(n) OVER (PARTITION BY id)) AS FLOAT) AS x FROM q)
      SELECT u, v, round(sum(CAST(a.x AS DOUBLE) + b.x + abs(a.x - b.x) + a.x * b.x), 4) AS total, CAST(4 * count(*) AS INT) AS n
