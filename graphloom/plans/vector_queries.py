@@ -60,6 +60,21 @@ def knn_row_softmax(spark, folder):
     return graphs.neighbour_graph(_queries(base), base, CANDIDATES, TOP, "row_softmax", 0.05).withColumn("w", F.round("w", 6))
 
 
+def cosine_top500(spark, folder):
+    base = embeddings(spark, folder)
+    return vectors.exact_neighbours(_queries(base), base, NEAREST).select("src", "dst", F.round("w", 6).alias("cos"), "rank")
+
+
+def knn_cos_pos_500(spark, folder):
+    base = embeddings(spark, folder)
+    return graphs.neighbour_graph(_queries(base), base, NEAREST, HEAVIEST).withColumn("w", F.round("w", 6))
+
+
+def knn_row_softmax_500(spark, folder):
+    base = embeddings(spark, folder)
+    return graphs.neighbour_graph(_queries(base), base, NEAREST, HEAVIEST, "row_softmax", 0.05).withColumn("w", F.round("w", 6))
+
+
 def emb_unit(spark, folder):
     rows = embeddings(spark, folder).select("id", F.posexplode(vectors.unit(F.col("vector"))).alias("at", "x"))
     return rows.select("id", "at", F.round("x", 6).alias("x"))
@@ -180,7 +195,7 @@ QUERIES = {
     for f in (
         cosine_topm, knn_cos_pos, knn_row_softmax, emb_unit, emb_norm_quantiles, emb_finite_check, cos_top1_quantiles, rank_corr, seq_prepare,
         seq_missing, seq_windows, seq_length_bucket, seq_layout, seq_linker_pairs, pair_scored_jaccard, embed_pooled, pair_features, supervised_graph,
-        pair_scored_candidates,
+        pair_scored_candidates, cosine_top500, knn_cos_pos_500, knn_row_softmax_500,
     )
 }
 
@@ -225,6 +240,10 @@ SQL = {
     "knn_cos_pos": f"WITH {_COS}, c AS (SELECT src, dst, greatest(w, 0) AS x FROM r WHERE rank <= 20) {_KNN}",
     "knn_row_softmax": f"""WITH {_COS}, e AS (SELECT src, dst, exp((w - max(w) OVER (PARTITION BY src)) / 0.05) AS e FROM r WHERE rank <= 20),
      c AS (SELECT src, dst, e / (sum(e) OVER (PARTITION BY src) + 1e-12) AS x FROM e) {_KNN}""",
+    "cosine_top500": f"WITH {_COS} SELECT src, dst, round(w, 6) AS cos, rank FROM r WHERE rank <= {NEAREST}",
+    "knn_cos_pos_500": f"WITH {_COS}, c AS (SELECT src, dst, greatest(w, 0) AS x FROM r WHERE rank <= {NEAREST}) {_HEAVIEST}",
+    "knn_row_softmax_500": f"""WITH {_COS}, e AS (SELECT src, dst, exp((w - max(w) OVER (PARTITION BY src)) / 0.05) AS e FROM r WHERE rank <= {NEAREST}),
+     c AS (SELECT src, dst, e / (sum(e) OVER (PARTITION BY src) + 1e-12) AS x FROM e) {_HEAVIEST}""",
     "emb_unit": """WITH x AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),
      n AS (SELECT id, v, sqrt(list_dot_product(v, v)) + 1e-12 AS s, unnest(range(0, len(v))) AS at_ FROM x) SELECT id, CAST(at_ AS INT) AS at, round(v[at_ + 1] / s, 6) AS x FROM n""",
     "emb_norm_quantiles": f"""WITH x AS (SELECT list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),

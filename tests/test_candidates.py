@@ -27,3 +27,23 @@ def test_pair_scores_reach_beyond_known_edges(spark):
     known = {(r.u, r.v) for r in Q.prior(spark, FOLDER).collect()}
     edges = {(r.u, r.v) for r in Q.pair_scored_candidates(spark, FOLDER).collect()}
     assert edges - known
+
+
+def test_softmax_is_over_500_candidates(spark):
+    """Against a softmax in numpy: the weights of a source, each edge being found once or from both sides."""
+    import numpy as np
+
+    rows = sorted((r.id, r.vector) for r in Q.embeddings(spark, FOLDER).collect())
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i, q in enumerate(ids):
+        if q % Q.EVERY == 0:
+            cos = np.delete(x @ x[i], i)
+            others, best = np.delete(ids, i), np.argsort(-cos)[:500]
+            e = np.exp((cos[best] - cos.max()) / 0.05)
+            for j, w in zip(others[best][:20], (e / e.sum())[:20]):
+                pair = (min(q, int(j)), max(q, int(j)))
+                want[pair] = max(w, want.get(pair, 0))
+    got = {(r.u, r.v): r.w for r in Q.QUERIES["knn_row_softmax_500"](spark, FOLDER).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
