@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import skew
 
 DEFAULT_TAXON = "7701"
-USUAL_PATTERN = r"^\d+\.FMPP\d{11}$"
+USUAL_PATTERN = r"^\d+\.FMPP\d{11}\z"
 ID_PATTERN = r"(?i)^[\s ]*(?:(\d+)\.)?FMPP(\d{11})(?:\.\d+)?[\s ]*$"
 
 

@@ -16,6 +16,13 @@ def test_spellings(spark):
     assert blank[-3:] == [True] * 3 and not any(blank[:-3])
 
 
+def test_line_ends(spark):
+    df = spark.createDataFrame([(A + end,) for end in ("", "\n", "\r\n", "\r", "\u0085", "\u2028", " \n")], "t string")
+    got = {r.t: r.c for r in df.select("t", ids.canonical(F.col("t")).alias("c")).collect()}
+    assert {got[A + end] for end in ("", "\n", "\r\n", "\r", " \n")} == {A}
+    assert set(got.values()) <= {A, None}
+
+
 def test_former_ids(spark, monkeypatch):
     rows = [(A, "fmpp00000700001"), (A, None), (B, A), (B, "FMPP00000700001"), (None, "FMPP00000700002"), ("bad", "FMPP00000700003")]
     nodes = spark.createDataFrame([(*r, 1) for r in rows], "id string, alias string, name int")
