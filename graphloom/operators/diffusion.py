@@ -34,7 +34,8 @@ def pagerank(
     moved along the edges by weight; ``1 - alpha`` of them returns to the seeds. All graphs
     move in the same joins. Every ``every`` rounds lineage is cut and, with a ``tolerance``, the
     change is compared with it times the number of nodes, as the sum over a graph; a graph that has
-    none left to change stays. With a ``tolerance`` of None there are exactly ``iterations`` rounds.
+    none left to change stays. With a ``tolerance`` of None there are exactly ``iterations`` rounds
+    and ``converged`` is NULL.
     A graph that holds no seed gives no rows. Edges of hot nodes are spread over tasks.
     """
     moves = cut(E.both_ways(E.positive(graphs).select("graph", "u", "v", "w")))
@@ -72,4 +73,4 @@ def pagerank(
             moved = x.unionByName(before.withColumn("x", -F.col("x"))).groupBy("graph", "id").agg(F.abs(F.sum("x")).alias("d"))
             change = moved.join(F.broadcast(size), "graph").groupBy("graph").agg((F.sum("d") < F.max("n") * tolerance).alias("still"))
             done = not change.where("not still").limit(1).count()
-    return x.select("graph", "id", F.col("x").alias("score"), F.lit(round_no).alias("iterations"), F.lit(done if tolerance is not None else True).alias("converged"))
+    return x.select("graph", "id", F.col("x").alias("score"), F.lit(round_no).alias("iterations"), F.lit(done if tolerance is not None else None).cast("boolean").alias("converged"))

@@ -164,8 +164,13 @@ def _scores(spark, folder, *names):
     return diffusion.pagerank(_graphs(spark, folder, *names), seeds(spark, folder), iterations=ROUNDS, tolerance=None)
 
 
-def _candidates(spark, folder, *names):
-    scored = _rounded(_scores(spark, folder, *names), "score", digits=9)
+def _converged(spark, folder, *names):
+    """Scores to the tolerance of the reference."""
+    return diffusion.pagerank(_graphs(spark, folder, *names), seeds(spark, folder))
+
+
+def _candidates(spark, folder, *names, scores=_scores):
+    scored = _rounded(scores(spark, folder, *names), "score", digits=9)
     return metrics.candidates(scored, diffusion.seed_vector(seeds(spark, folder)), metrics.label_map(labels(spark, folder)))
 
 
@@ -173,6 +178,10 @@ def ppr_scores(spark, folder):
     return _rounded(_scores(spark, folder, "signal").select("id", "score"), "score", digits=8)
 
 
+def ppr_scores_converged(spark, folder):
+    return _converged(spark, folder, "signal", "prior")
+
+
 def ppr_topk(spark, folder):
     rows = _candidates(spark, folder, "signal").orderBy(F.desc("score"), "id").limit(TOP)
     return rows.select("id", F.round("score", 8).alias("score"))
@@ -197,6 +206,12 @@ def eval_folder_summary(spark, folder):
     return _rounded(out, "auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
 
 
+def eval_folder_converged(spark, folder):
+    """As ``eval_folder_summary``, of scores to the tolerance."""
+    scored = metrics.summary(_candidates(spark, folder, "signal", "prior", "mix", "reweight", scores=_converged), TOP)
+    return _rounded(metrics.best_first(scored), "auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
+
+
 def edge_split(spark, folder):
     return splits.edge_split(prior(spark, folder))
 
@@ -215,7 +230,7 @@ QUERIES = {
         edge_dedup_max, merge_parts, stream_merge_parts, edge_last_weight, edge_filter_whitelist, node_degree, edge_nodes,
         prior_graph, norm_minmax_global, norm_clip01, norm_minmax_src, norm_sigmoid_z_src, norm_softmax_src, top_edges_src,
         reweight_exp, reweight_linear, gated_mix_exp, gated_mix_linear, seed_vector, label_map, ppr_scores, ppr_topk, pr_curve, auprc,
-        ranking_metrics, eval_folder_summary, edge_split, node_split, negative_pairs,
+        ranking_metrics, eval_folder_summary, ppr_scores_converged, eval_folder_converged, edge_split, node_split, negative_pairs,
     )
 }
 

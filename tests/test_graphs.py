@@ -156,3 +156,10 @@ def test_scored_graph(spark):
     items = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", float("nan"))], "id string, x double")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "src string, dst string")
     assert got(graphs.scored_graph(pairs, items, F.col("a.x") * F.col("b.x"), norm="raw")) == {("a", "b"): 2.0}
+
+
+def test_converged_only_where_tested(spark):
+    g = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "b", "c", 2.0)], "graph string, u string, v string, w double")
+    seeds = spark.createDataFrame([("a", 1.0)], "id string, weight double")
+    assert {r.converged for r in diffusion.pagerank(g, seeds, iterations=2, tolerance=None).collect()} == {None}
+    assert {r.converged for r in diffusion.pagerank(g, seeds, iterations=1).collect()} == {False}
