@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..operators.vectors import exact_neighbours
 from ..plans.orphan_queries import canonical_sql
 from ..plans.tables import table
 from ..runtime import cut
@@ -38,10 +39,23 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = similar_vectors.most_similar(current_vectors(spark, folder), "rec_id", "emb", least=0.85)
+    near = p3_neighbours(spark, folder).where("cosine > 0.85")
     return near.select(F.least("rec_id", "neighbour").alias("rec_a"), F.greatest("rec_id", "neighbour").alias("rec_b")).distinct()
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours that brute force finds for ids divisible by 20 among all rows, how many of them the search finds, and the share."""
+    rows = cut(current_vectors(spark, folder).select(F.col("rec_id").alias("id"), F.col("emb").alias("vector")))
+    exact = exact_neighbours(rows.where("id % 20 = 0"), rows, 10).select(F.col("src").alias("rec_id"), F.col("dst").alias("neighbour"), "w")
+    found = similar_vectors.most_similar(rows, "id", "vector").select(F.col("id").alias("rec_id"), "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(found, ["rec_id", "neighbour"], "left")
+    near = F.col("w") > 0.85
+    return both.agg(
+        F.countDistinct("rec_id").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"),
+        (F.count("hit") / F.count(F.lit(1))).alias("recall"), (F.count(F.when(near, F.col("hit"))) / F.count_if(near)).alias("recall_near"),
+    )
+
+
 # 4: the strongest partners of every node
 
 
@@ -127,7 +141,7 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),

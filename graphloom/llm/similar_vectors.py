@@ -1,12 +1,13 @@
 """The most similar vectors of every vector, by collision-counting hashing.
 
-A bounded sample of the vectors gives the directions of coarse projections; a vector belongs to
-the few directions on which it projects farthest, so that a cell holds the upper end of one
-projection's sorted array. In each cell, further single projections are sorted; a query's
-windows are centred on its own projections, and a vector that lies in enough of its windows (a
-collision count over the threshold) is verified in double precision. Windows of queries that
-find too few are widened (virtual rehashing) up to the whole cell. The best of all cells are
-ranked last.
+Two levels of directions keep the search local. A small sample of the vectors gives coarse
+directions; a vector belongs to the few on which it projects farthest, the upper end of each
+one's sorted array. What meets there is one task, whose own sample gives finer directions in the
+same way. In each fine cell further single projections are sorted. Windows are centred on a query's
+own projections; a vector that lies in enough of the windows (a collision count over the
+threshold) is verified in double precision. Windows widen (virtual rehashing) until they reach
+beyond the query's k-th best so far, which earlier cells of the task have told already. The best
+of all tasks are ranked last.
 """
 
 from collections.abc import Iterator
@@ -19,22 +20,26 @@ from pyspark.sql import functions as F
 from ..functions import skew
 from ..runtime import cut
 
-#: Vectors of a direction on average, and directions of a vector.
-PER_DIRECTION, DIRECTIONS_EACH = 80, 8
-#: The sample that gives the directions is bounded; 64 numbers each are 8 MB at most.
-MOST_DIRECTIONS = 16_384
+#: Coarse directions: the root of the vectors over this, so that placing a vector costs a root; directions of a vector.
+PER_COARSE, COARSE_EACH = 160, 5
+#: Vectors of a coarse cell on average at most; beyond that there are more directions. 20,480 hold 537 million vectors in 5 MB.
+COARSE_CELL = 131_072
+#: Vectors of a fine direction on average, and fine directions of a vector.
+PER_FINE, FINE_EACH = 60, 4
 #: Sorted projections in a cell, first half-width of a window, its growth, and the share of windows that have to collide.
-PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.62, 1.8, 0.6
-#: A window finds vectors up to this share of its half-width reliably; one over WIDEST would hold nearly all of a cell.
-REACH, WIDEST = 0.9, 1.5
-#: A larger cell is divided into blocks of so many vectors at most, each pair of which is a task of its own.
-BLOCK = 4096
-_QUERIES_AT_ONCE = 256
+PROJECTIONS, WIDTH, GROWTH, THRESHOLD = 16, 0.4, 1.8, 0.6
+#: A window finds vectors up to this share of its half-width reliably.
+REACH = 0.7
+#: Two vectors farther apart than this are no better than any two.
+FAR = 1.5
+#: A larger coarse cell is divided into blocks of so many vectors at most, each pair of which is a task of its own.
+BLOCK = 2 * COARSE_CELL
+#: Places of a sorted array at which the set of the members before it is kept; windows are rounded outwards to them.
+STEPS = 256
 #: From this share of candidates on, a matrix product verifies them faster than one by one.
-DENSE = 0.05
+DENSE = 0.1
 SALTS = 32
-#: Columns of a block in the search for the farthest directions.
-COLUMNS = 64
+_AT_ONCE = 4096
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -49,82 +54,137 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _search(queries: np.ndarray, own: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, seed: int, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query id, id, cosine)`` of the up to ``k`` most similar candidates of each query among ``base``.
-
-    Neighbours at a distance over ``far`` are not looked for.
-    """
-    lines = np.random.default_rng(seed).standard_normal((base.shape[1], PROJECTIONS))
-    table, mine = base @ lines, queries @ lines
-    order = np.argsort(table, axis=0, kind="stable")
-    ranks = np.empty_like(order, dtype=np.int32)
-    np.put_along_axis(ranks, order, np.arange(len(base), dtype=np.int32)[:, None], axis=0)
-    ranks = np.ascontiguousarray(ranks.T)
-    sorted_table = np.take_along_axis(table, order, axis=0)
-    need, out = int(np.ceil(PROJECTIONS * THRESHOLD)), []
-    for at in range(0, len(queries), _QUERIES_AT_ONCE):
-        block = np.arange(at, min(at + _QUERIES_AT_ONCE, len(queries)))
-        width = WIDTH
-        while len(block):
-            if width > WIDEST:
-                candidate = np.ones((len(block), len(base)), dtype=bool)
-            else:
-                count = np.zeros((len(block), len(base)), dtype=np.uint8)
-                for p in range(PROJECTIONS):
-                    low = np.searchsorted(sorted_table[:, p], mine[block, p] - width, "left").astype(np.int32)
-                    high = np.searchsorted(sorted_table[:, p], mine[block, p] + width, "right").astype(np.int32)
-                    count += (ranks[p] - low[:, None]).view(np.uint32) < (high - low)[:, None].view(np.uint32)
-                candidate = count >= need
-            candidate &= own[block, None] != ids[None, :]
-            q, c = np.nonzero(candidate)
-            if len(q) > DENSE * candidate.size:
-                cosine = (queries[block] @ base.T)[q, c]
-            else:
-                cosine = np.einsum("ij,ij->i", queries[block[q]], base[c])
-            best = np.lexsort((ids[c], -cosine, q))
-            q, c, cosine = q[best], c[best], cosine[best]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q, c, cosine = q[keep], c[keep], cosine[keep]
-            # A query is done once its windows are sure to hold its k nearest: so many are near enough.
-            near = np.bincount(q[2 - 2 * cosine <= (REACH * width) ** 2], minlength=len(block))
-            done = (near >= k) | (width > WIDEST) | (REACH * width >= far)
-            out.append((own[block[q[done[q]]]], ids[c[done[q]]], cosine[done[q]]))
-            block, width = block[~done], width * GROWTH
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _farthest(reach: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``each`` greatest numbers of each row.
-
-    The greatest of blocks of columns bound them from below, so that few numbers have to be sorted.
-    """
-    n, d = reach.shape
-    blocks = reach[:, : d // COLUMNS * COLUMNS].reshape(n, -1, COLUMNS).max(axis=2)
-    if blocks.shape[1] <= each:
-        return np.repeat(np.arange(n), each), np.argpartition(-reach, each - 1, axis=1)[:, :each].ravel()
-    bound = np.partition(blocks, blocks.shape[1] - each, axis=1)[:, blocks.shape[1] - each]
-    row, column = np.nonzero(reach >= bound[:, None])
-    order = np.lexsort((column, -reach[row, column], row))
-    row, column = row[order], column[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < each
-    return row[keep], column[keep]
+def _farthest(unit: np.ndarray, lines: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and direction of the ``each`` directions on which each row projects farthest."""
+    each = min(each, len(lines))
+    best = [np.argpartition(-(unit[at : at + _AT_ONCE] @ lines.T), each - 1, axis=1)[:, :each] for at in range(0, len(unit), _AT_ONCE)]
+    return np.repeat(np.arange(len(unit)), each), np.concatenate(best).ravel()
+
+
+def _sets_before(order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bit sets of the members before every ``step``-th place of each sorted array, and the step."""
+    lines, members = order.shape
+    step = max(1, -(-members // STEPS))
+    place = np.empty((lines, members), dtype=np.int64)
+    np.put_along_axis(place, order, np.arange(members)[None, :] // step + 1, axis=1)
+    marks = np.zeros((lines, -(-members // step) + 1, -(-members // 64) * 64), dtype=bool)
+    marks[np.arange(lines)[:, None], place, np.arange(members)[None, :]] = True
+    return np.bitwise_or.accumulate(np.packbits(marks, axis=2, bitorder="little").view(np.uint64), axis=1), step
+
+
+def _at_least(planes: list[np.ndarray], need: int) -> np.ndarray:
+    """Bits whose count, given as one bit set per binary digit, is ``need`` or more."""
+    more, same = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for i in reversed(range(len(planes))):
+        if need >> i & 1:
+            same = same & planes[i]
+        else:
+            more |= same & planes[i]
+    return more | same
+
+
+class _Search:
+    """The running ``k`` best of every vector of a task."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int, side: np.ndarray | None = None) -> None:
+        self.ids, self.unit, self.k, self.side = ids, unit, k, side
+        self.lines = np.random.default_rng(0).standard_normal((unit.shape[1], PROJECTIONS))
+        self.cosine = np.full((len(ids), k), -9.0)
+        self.found = np.full((len(ids), k), -1, dtype=np.int64)
+        self.searches, self.whole = 0, 0
+
+    def distance(self, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * self.cosine[rows, -1]))
+
+    def run(self) -> None:
+        if len(self.ids) < 2:
+            return
+        seed = (self.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        sample = np.argsort(seed, kind="stable")[: max(1, len(self.ids) // PER_FINE)]
+        row, cell = _farthest(self.unit.astype(np.float32), self.unit[sample].astype(np.float32), FINE_EACH)
+        order = np.argsort(cell, kind="stable")
+        for members in np.split(row[order], np.flatnonzero(np.diff(cell[order])) + 1):
+            self.cell(members)
+
+    def cell(self, members: np.ndarray) -> None:
+        """Looks for each member's neighbours among the members."""
+        x, m = self.unit[members], len(members)
+        table = np.ascontiguousarray((x @ self.lines).T)
+        order = np.argsort(table, axis=1)
+        arrays = np.take_along_axis(table, order, axis=1)
+        before, step = _sets_before(order)
+        need = int(np.ceil(PROJECTIONS * THRESHOLD))
+        known = np.zeros((m, before.shape[2]), dtype=np.uint64)  # verified, or not to be
+        known[np.arange(m), np.arange(m) >> 6] = np.uint64(1) << (np.arange(m) & 63).astype(np.uint64)
+        if self.side is not None:
+            own = self.side[members]
+            sides = np.packbits(np.pad(own[None, :] == np.unique(own)[:, None], ((0, 0), (0, known.shape[1] * 64 - m))), axis=1, bitorder="little")
+            known |= sides.view(np.uint64)[np.searchsorted(np.unique(own), own)]
+        radius = self.distance(members) / REACH
+        width, active = np.where(radius < FAR / REACH, radius, WIDTH), np.arange(m)
+        self.searches += m
+        while len(active):
+            w = width[active]
+            planes = [np.zeros((len(active), before.shape[2]), dtype=np.uint64) for _ in range(PROJECTIONS.bit_length())]
+            covered = np.ones(len(active), dtype=bool)
+            for p in range(PROJECTIONS):
+                low = np.searchsorted(arrays[p], table[p, active] - w, "left")
+                high = np.searchsorted(arrays[p], table[p, active] + w, "right")
+                covered &= (low == 0) & (high == m)
+                carry = before[p, -(-high // step)] ^ before[p, low // step]
+                for i in range((p + 1).bit_length()):  # adds the window to the counts
+                    planes[i], carry = planes[i] ^ carry, planes[i] & carry
+            hit = _at_least(planes, need) & ~known[active]
+            known[active] |= hit
+            mask = np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little", count=m).view(bool)
+            self.verify(members, x, active, mask)
+            distance = self.distance(members[active])
+            sure = distance <= REACH * w + 1e-9
+            self.whole += int((covered & ~sure).sum())
+            width[active] = np.where(distance < FAR, np.minimum(w * GROWTH, distance / REACH), w * GROWTH)
+            active = active[~(sure | covered)]
+
+    def verify(self, members: np.ndarray, x: np.ndarray, active: np.ndarray, mask: np.ndarray) -> None:
+        q, c = np.nonzero(mask)
+        cosine = (x[active] @ x.T)[q, c] if len(q) > DENSE * mask.size else np.einsum("ij,ij->i", x[active[q]], x[c])
+        better = cosine >= self.cosine[members[active[q]], -1]
+        q, c, cosine = q[better], c[better], cosine[better]
+        if not len(q):
+            return
+        ids = self.ids[members[c]]
+        order = np.lexsort((ids, -cosine, q))
+        q, ids, cosine = q[order], ids[order], cosine[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        changed, to = np.unique(q[keep], return_inverse=True)
+        rows = members[active[changed]]
+        both = np.full((len(rows), 2 * self.k), -9.0)
+        names = np.full((len(rows), 2 * self.k), -1, dtype=np.int64)
+        both[:, : self.k], names[:, : self.k] = self.cosine[rows], self.found[rows]
+        both[to, self.k + place[keep]], names[to, self.k + place[keep]] = cosine[keep], ids[keep]
+        order = np.lexsort((-both, names), axis=1)  # a neighbour that another cell found, too
+        both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+        both[:, 1:][(names[:, 1:] == names[:, :-1])] = -9.0
+        order = np.lexsort((names, -both), axis=1)[:, : self.k]
+        self.cosine[rows], self.found[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, place = np.nonzero(self.cosine > -9.0)
+        return self.ids[q], self.found[q, place], self.cosine[q, place]
 
 
 def _directions(vectors: DataFrame, n: int) -> np.ndarray:
-    """A sample of the vectors that is the same on each run; as many as keep cells at their size."""
-    wanted = int(min(MOST_DIRECTIONS, max(1, n // PER_DIRECTION)))
+    """A sample of the vectors that is the same on each run."""
+    wanted = int(max(1, np.ceil(np.sqrt(n / PER_COARSE)), n * COARSE_EACH // COARSE_CELL))
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
     return _matrix(rows["vector"]).astype(np.float32)
 
 
-def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64, least: float = -1.0) -> DataFrame:
+def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
     """``(key, neighbour, cosine, rank)``: the ``k`` most similar vectors of each vector, itself left out.
 
     Only usable vectors take part (see ``usable``). Similarity is the cosine in double precision;
-    of equal ones the smaller key comes first. Neighbours of a cosine up to ``least`` are left out, which
-    saves the search for them. The search is approximate. Exact copies of a
+    of equal ones the smaller key comes first. The search is approximate. Exact copies of a
     vector are searched once and their rows ranked afterwards, so that a group of copies
     of any size costs no pairs within it. ``key`` has to be unique and of an integer type. An
     empty input gives an empty result.
@@ -133,7 +193,7 @@ def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int =
     rows = df.where(usable(F.col(f"`{vector}`"), size)).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vector"))
     rows = cut(rows.withColumn("h", F.xxhash64("vector")))
     classes = cut(rows.groupBy("h", "vector").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
-    found = cut(_ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k, least), k))
+    found = cut(_ranked(_cell_neighbours(classes.select(F.col("head").alias("id"), "vector"), k), k))
     return _expand(_copies(rows, classes), found, k).select(F.col("id").alias(key), "neighbour", "cosine", "rank")
 
 
@@ -151,8 +211,8 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _cell_neighbours(vectors: DataFrame, k: int, least: float) -> DataFrame:
-    """``(id, neighbour, cosine)``: the best of each cell."""
+def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
+    """``(id, neighbour, cosine)``: the best of each coarse cell."""
     spark = vectors.sparkSession
     n = vectors.count()
     if not n:
@@ -160,40 +220,33 @@ def _cell_neighbours(vectors: DataFrame, k: int, least: float) -> DataFrame:
     directions = spark.sparkContext.broadcast(_directions(vectors, n))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines = directions.value.T
-        each = min(DIRECTIONS_EACH, lines.shape[1])
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                reach = _matrix(part["vector"]).astype(np.float32) @ lines
-                row, cell = _farthest(reach, each)
-                yield part.iloc[row].assign(cell=cell.astype(np.int32))
-
-    placed = cut(vectors.mapInPandas(assign, "id long, vector array<float>, cell int"))
-    # MOST_DIRECTIONS numbers at most; cells over BLOCK vectors are few.
-    crowded = {r["cell"]: -(-r["count"] // BLOCK) for r in placed.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
+            for at in range(0, len(batch), _AT_ONCE):
+                part = batch.iloc[at : at + _AT_ONCE]
+                _, cell = _farthest(_matrix(part["vector"]).astype(np.float32), directions.value, COARSE_EACH)
+                yield part.assign(cells=list(cell.astype(np.int32).reshape(len(part), -1)))
+
+    placed = cut(vectors.mapInPandas(assign, "id long, vector array<float>, cells array<int>"))
+    # As many names as directions at most; cells over BLOCK vectors are few.
+    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+    crowded = {r["cell"]: -(-r["count"] // BLOCK) for r in sizes.where(F.col("count") > BLOCK).collect()}
+    placed = placed.select("id", "vector", F.explode("cells").alias("cell"))
     blocks = F.lit(1)
     if crowded:
-        sizes = spark.createDataFrame(list(crowded.items()), "cell int, blocks int")
-        placed = placed.join(F.broadcast(sizes), "cell", "left")
+        blocks_of = spark.createDataFrame(list(crowded.items()), "cell int, blocks int")
+        placed = placed.join(F.broadcast(blocks_of), "cell", "left")
         blocks = F.coalesce("blocks", F.lit(1))
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    placed = placed.withColumn("block", block).withColumn("other", F.explode(others))
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tasks = placed.select("cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "vector")
 
-    far = float(np.sqrt(max(0.0, 2 - 2 * least)))
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, seed = group["a"].iloc[0], group["b"].iloc[0], int(group["cell"].iloc[0])
-        ids, own, m = group["id"].to_numpy(), group["block"].to_numpy(), _matrix(group["vector"])
-        found = []
-        for x, y in {(a, b), (b, a)}:
-            found.append(_search(m[own == x], ids[own == x], m[own == y], ids[own == y], k, seed, far))
-        found = pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), (np.concatenate(c) for c in zip(*found)))))
-        return found[found["cosine"] > least]
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        side = group["block"].to_numpy() if group["a"].iloc[0] != group["b"].iloc[0] else None
+        task = _Search(group["id"].to_numpy(), _matrix(group["vector"]), k, side)
+        task.run()
+        return pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), task.result())))
 
-    return tasks.groupBy("cell", "a", "b").applyInPandas(verify, "id long, neighbour long, cosine double")
+    return tasks.groupBy("cell", "a", "b").applyInPandas(search, "id long, neighbour long, cosine double")
 
 
 def _expand(copies: DataFrame, found: DataFrame, k: int) -> DataFrame:

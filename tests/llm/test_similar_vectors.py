@@ -63,7 +63,40 @@ def test_farthest():
 
     x = np.random.default_rng(3).standard_normal((50, 1500)).astype(np.float32)
     for d in (9, 300, 1500):
-        row, column = _farthest(x[:, :d], 8)
+        row, column = _farthest(x, np.eye(1500, dtype=np.float32)[:d], 8)
         want = np.sort(np.argsort(-x[:, :d], axis=1)[:, :8], axis=1)
         assert np.array_equal(row, np.repeat(np.arange(50), 8))
         assert np.array_equal(np.sort(column.reshape(50, 8), axis=1), want)
+
+
+def test_windows_are_counted():
+    from graphloom.llm.similar_vectors import _at_least, _sets_before
+
+    rng = np.random.default_rng(4)
+    for m in (5, 70, 700):
+        table = rng.standard_normal((6, m))
+        order = np.argsort(table, axis=1)
+        before, step = _sets_before(order)
+        low = rng.integers(0, m, (6, 20)) // step * step
+        high = np.minimum(low + rng.integers(0, m, (6, 20)) // step * step, before.shape[1] * step - step)
+        planes, want = [np.zeros((20, before.shape[2]), dtype=np.uint64) for _ in range(3)], np.zeros((20, m), dtype=int)
+        for p in range(6):
+            carry = before[p, high[p] // step] ^ before[p, low[p] // step]
+            for i in range(3):
+                planes[i], carry = planes[i] ^ carry, planes[i] & carry
+            for q in range(20):
+                want[q, order[p, low[p, q] : high[p, q]]] += 1
+        for need in range(1, 7):
+            got = np.unpackbits(_at_least(planes, need).view(np.uint8), axis=1, bitorder="little", count=m)
+            assert np.array_equal(got.astype(bool), want >= need)
+
+
+def test_no_search_takes_the_whole_cell():
+    from graphloom.llm.similar_vectors import _Search
+
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((300, 1, 64)) + 0.3 * rng.standard_normal((300, 8, 64))).reshape(-1, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    task = _Search(np.arange(len(x)), x, 10)
+    task.run()
+    assert task.whole <= 0.05 * task.searches
