@@ -9,8 +9,12 @@ from ..runtime import cut
 from .normalize import top_per_source
 
 TINY = 1e-12
-#: Queries that one task multiplies with its rows at once.
-QUERY_BLOCK = 4096
+#: Queries that one task multiplies with its rows at once, and rows at least and at most.
+QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK = 4096, 4096, 65_536
+#: Numbers of a block of products at most: 64 MB.
+_PRODUCTS = 1 << 23
+#: Cosines that agree in so many digits are ties: products of equal vectors may differ in the last bits.
+DIGITS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,47 +40,59 @@ def finite(a: Column) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def exact_neighbours(queries: DataFrame, base: DataFrame, m: int) -> DataFrame:
+def exact_neighbours(queries: DataFrame, base: DataFrame, m: int, size: int | None = None) -> DataFrame:
     """``(src, dst, w, rank)``: for each query the ``m`` rows of ``base`` of highest cosine, itself left out.
 
-    Both have ``id, vector``; vectors that are NULL, of another length than most queries' or not
-    finite never match. Blocks of queries meet blocks of ``base`` as matrix products; each
-    pair of blocks keeps ``m`` rows per query, which are ranked last. The query set is the
-    stated one of the caller; no pair of rows is written that is not among a block's best.
+    Both have ``id, vector``. Vectors that are NULL, not finite or not ``size`` long never match; by
+    default ``size`` is the commonest length among the queries, the smaller of equally common
+    ones. Blocks of queries meet blocks of ``base`` as matrix products; each pair of blocks keeps ``m`` rows per query,
+    which are ranked last. The number of blocks comes from counts, so that no block grows with
+    the tables. Of equal cosines the smaller id comes first, however many there are. The query
+    set is the stated one of the caller; no pair of rows is written that is not among a block's best.
     """
     sound = lambda df: df.select("id", "vector").where(F.col("vector").isNotNull() & finite(F.col("vector")))
-    queries, base = cut(sound(queries)), sound(base)
+    queries, base = cut(sound(queries)), cut(sound(base))
     kind = queries.schema["id"].dataType.simpleString()
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = base.sparkSession.sparkContext.defaultParallelism
+    if size is None:
+        # One row per length; the first of them.
+        common = queries.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+        size = common["size"] if common else 0
+    queries, base = (df.where(F.size("vector") == size) for df in (queries, base))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n, cores = base.count(), base.sparkSession.sparkContext.defaultParallelism
+    # Small tables are divided as far as there are cores, unless blocks would hold little beside the m kept of each.
+    parts = max(1, -(-n // MOST_BLOCK), min(cores // blocks, n // max(LEAST_BLOCK, 32 * m)))
     left = queries.select(F.col("id").alias("src"), F.col("vector").alias("x")).withColumn("q", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = base.select(F.col("id").alias("dst"), F.col("vector").alias("y")).withColumn("b", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"src": [], "dst": [], "w": []})
-        if a.empty or b.empty:
-            return none
-        size = a["x"].map(len).mode().iloc[0]
-        a, b = a[a["x"].map(len) == size], b[b["y"].map(len) == size]
-        if b.empty:
-            return none
-        x, y = _rows(a["x"]), _rows(b["y"])
-        src, dst = a["src"].to_numpy(), b["dst"].to_numpy()
-        out = []
-        for at in range(0, len(x), 256):
-            similar = x[at : at + 256] @ y.T
-            similar[src[at : at + 256, None] == dst[None, :]] = -np.inf
-            keep = np.argpartition(-similar, min(m + 8, len(dst)) - 1, axis=1)[:, : m + 8]
-            value = np.take_along_axis(similar, keep, axis=1)
-            out.append(pd.DataFrame({"src": np.repeat(src[at : at + 256], keep.shape[1]), "dst": dst[keep.ravel()], "w": value.ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["w"])]
+        out = [pd.DataFrame({"src": a["src"].iloc[:0], "dst": b["dst"].iloc[:0], "w": np.empty(0)})]
+        if len(a) and len(b):
+            b = b.sort_values("dst", ignore_index=True)
+            x, y, src, dst = _rows(a["x"]), _rows(b["y"]), a["src"].to_numpy(), b["dst"].to_numpy()
+            step = max(1, _PRODUCTS // len(dst))
+            for at in range(0, len(x), step):
+                similar = np.round(x[at : at + step] @ y.T, DIGITS)
+                similar[src[at : at + step, None] == dst[None, :]] = -np.inf
+                out.append(_block_best(similar, src[at : at + step], dst, m))
+        return pd.concat(out)
 
     pairs = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(best, f"src {kind}, dst {kind}, w double")
     return cut(top_per_source(pairs, m))
 
 
+def _block_best(similar: np.ndarray, src: np.ndarray, dst: np.ndarray, m: int) -> pd.DataFrame:
+    """The ``m`` greatest of each row; of those that tie with the last, the first by ``dst``, which is sorted."""
+    keep = min(m, len(dst))
+    least = np.partition(similar, len(dst) - keep, axis=1)[:, len(dst) - keep]
+    row, column = np.nonzero((similar >= least[:, None]) & (similar > -np.inf))
+    value = similar[row, column]
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < m
+    return pd.DataFrame({"src": src[row[first]], "dst": dst[column[first]], "w": value[first]})
+
+
 def _rows(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + TINY)
