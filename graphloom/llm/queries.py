@@ -141,7 +141,12 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report)}
+def p8_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """What the classifier calls cut of texts and artificial cuts that it wasn't fitted on."""
+    return truncation.held_out_accuracy(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report, p8_held_out)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),

@@ -10,15 +10,19 @@ import json
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import skew
 from ..runtime import cut
 
 #: Texts of the training sample at most, and artificial cuts of each.
@@ -32,6 +36,9 @@ LIMIT_TEXTS, LIMIT_PEAK, LIMIT_AROUND = 8, 12, 40
 #: Texts cut back to a blank or a whole character end so little below a limit.
 NEAR_LIMIT = 12
 BLOCK = 512
+#: Partitions of the training sample, which is bounded: an iteration of a fit is one stage of so many tasks.
+FIT_PARTS = 4
+SALTS = 32
 
 _MARK = re.compile(r"# (?:(%%)( \[markdown\])?|(In|Out)\[\d*\]:|(stream|error):)$")
 _FENCE = re.compile(r"(?m)^```[^`\n]*$")
@@ -101,16 +108,16 @@ def _length_features(text: str, limits: list[tuple[str, int]]) -> str:
     return "block" if sizes["bytes"] % BLOCK == 0 else "free"
 
 
-def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str]:
-    """Features of the end of ``text``, and its last word where it ends in one."""
+def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str, str]:
+    """Features of the end of ``text``, the kind of its last cell, and its last word where it ends in one."""
     length = _length_features(text, limits)
     text = text.replace("\r\n", "\n").lstrip("﻿ \t\n")
-    if text.startswith("{") and '"cell' in text[:400]:
+    if text.startswith("{") and '"cell' in text:
         try:
             json.loads(text)
-            return ["json whole"], ""
+            return ["json whole"], "json", ""
         except ValueError:
-            return ["json open", f"json {length}"], ""
+            return ["json open", f"json {length}"], "json", ""
     kind, body, open_frame = _last_cell(text)
     newline = text.endswith("\n")
     while body and not body[-1].strip():
@@ -147,14 +154,15 @@ def features(text: str, limits: list[tuple[str, int]]) -> tuple[list[str], str]:
         out.append(f"image|{k}|{ending if not ending.isalnum() else 'a'}")
     word = _LAST_WORD.search(stripped)
     if not word:
-        return out, ""
+        return out, k, ""
     w = word[0]
     if not newline:
-        seen = Counter(_WORD.findall(text[-4000:-1] if len(text) > 4000 else text[:-1]))
+        seen = Counter(_WORD.findall(text))
+        seen[w] -= 1  # the end of the text
         itself = seen[w] > 0
         part = not itself and any(x.startswith(w) and len(x) > len(w) for x in seen)
         out += [f"{k}|single {len(tokens) == 1}|{itself}|{part}", f"{k}|here {itself}|{part}", f"here {itself}|{part}|{terminal}"]
-    return out, w if not newline else ""
+    return out, k, w if not newline else ""
 
 
 def field_limits(lengths: DataFrame) -> dict[str, list[tuple[str, int]]]:
@@ -194,20 +202,132 @@ def cut_artificially(text: str, rng: random.Random, limits: list[tuple[str, int]
     return short
 
 
-def _known_words(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` of words inside the texts, the last one left out; counted in all texts, in batches first."""
+#: Rows of the one pass over the texts: a description of a text, an example for the fit, the count of a word.
+TEXT, EXAMPLE, COUNT = 0, 1, 2
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _hash(word: str) -> int:
+    """64 bits, so that a long word costs no more than a short one."""
+    return xxhash.xxh64_intdigest(word.encode(errors="surrogatepass")) - (1 << 63)
+
+
+def _described(found: tuple[list[str], str, str]) -> tuple[np.ndarray, int | None, int | None]:
+    """Hashed features and, where the text ends in a word, hashes of the cell's kind and of the word."""
+    f, kind, word = found
+    short = lambda x: xxhash.xxh32_intdigest(x.encode(errors="surrogatepass")) - (1 << 31)
+    return np.array([short(x) for x in f], dtype=np.int32), short(kind) if word else None, _hash(word) if word else None
+
+
+def _examples(text: str, own: list[tuple[str, int]], everywhere: list[tuple[str, int]]) -> Iterator[tuple]:
+    """``(label, half, features, kind, word)`` of a text taken as intact and of artificial cuts of it."""
+    found = features(text, own)
+    if "json open" in found[0] or _length_features(text, own) in ("limit", "near"):
+        return  # hardly intact
+    rng = random.Random(f"{len(text)} {text[:200]}")
+    half = rng.randrange(2)
+    yield 0.0, half, *_described(found)
+    for _ in range(CUTS_EACH if len(text) > 60 else 0):
+        yield 1.0, half, *_described(features(cut_artificially(text, rng, own or everywhere), own or everywhere))
+
+
+def _read(texts: DataFrame) -> DataFrame:
+    """All that the texts are read for, in one pass: descriptions, examples, and words with partial counts.
+
+    Another pass before it, inside the JVM, finds the limits. A word is counted where it isn't the
+    last of its text.
+    """
+    kind = texts.schema["k"].dataType.simpleString()
+    sizes = cut(texts.select(F.col("s").alias("source"), F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), F.xxhash64("t").alias("h")))
+    limits = field_limits(sizes.distinct())
+    everywhere = sorted({x for each in limits.values() for x in each})
+    share = int(min(1.0, TRAIN_TEXTS / max(1, sizes.count())) * 1_000_000)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words: Counter = Counter()
-            for t in batch["t"]:
-                found = _WORD.findall(t)
-                words.update(found[:-1])
-            words = {w: n for w, n in words.items() if len(w) <= 40}
+            rows, words = [], Counter()
+            for k, t, s, chosen in zip(batch["k"], batch["t"], batch["s"], batch["chosen"]):
+                words.update(_WORD.findall(t)[:-1])
+                own = limits.get(s, [])
+                rows.append((TEXT, k, s, None, None, *_described(features(t, own)), None))
+                if chosen:
+                    rows += [(EXAMPLE, None, None, *x, None) for x in _examples(t, own, everywhere)]
+            yield pd.DataFrame(rows, columns=names).astype(types)
             if words:
-                yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+                counts = pd.DataFrame({"what": COUNT, "word": [_hash(w) for w in words], "n": list(words.values())})
+                yield counts.assign(**dict.fromkeys(set(names) - set(counts)))[names].astype(types)
+
+    names = ["what", "k", "s", "label", "half", "f", "kind", "word", "n"]
+    types = {"half": "Int32", "kind": "Int32", "word": "Int64", "n": "Int64"}
+    chosen = F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share
+    schema = f"what int, k {kind}, s string, label double, half int, f array<int>, kind int, word long, n long"
+    return cut(texts.withColumn("chosen", chosen).mapInPandas(read, schema))
+
+
+def _told(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Features of whether the last word is known elsewhere; rows that end in none keep theirs and join nothing."""
+    n = F.coalesce("n", F.lit(0))
+    level = F.when(n == 0, 0).when(n < 3, 1).when(n < 10, 3).when(n < 100, 10).otherwise(100)
+    ending = rows.where("word is not null")
+    hot = skew.hot_keys(ending, "word")
+    known = skew.replicate(words, "word", hot, SALTS)
+    met = ending.withColumn("salt", skew.salt("word", F.monotonically_increasing_id(), hot, SALTS)).join(known, ["word", "salt"], "left")
+    met = met.withColumn("f", F.concat("f", F.array(F.hash(level), F.hash("kind", level))))
+    return rows.where("word is null").drop("word", "kind").unionByName(met.drop("word", "kind", "salt", "n"))
+
+
+def _prepared(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Texts as ``k, s, f`` and examples as ``label, half, f``."""
+    named = [(c, F.col(f"`{n}`").alias(c)) for c, n in (("k", key), ("t", text), ("s", source))]
+    texts = df.select(*(c for _, c in named)).where(F.col("t").rlike(r"\S")).withColumn("s", F.coalesce("s", F.lit("")))
+    rows = _read(texts)
+    described, examples = rows.where(F.col("what") == TEXT), rows.where(F.col("what") == EXAMPLE)
+    # Of all words, only those that a text ends in are asked for.
+    asked = rows.where(F.col("what") != COUNT).select("word").where("word is not null").distinct()
+    words = rows.where(F.col("what") == COUNT).select("word", "n").join(asked, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    words = cut(words)
+    sample = cut(_told(examples.select("label", "half", "f", "kind", "word"), words).repartition(FIT_PARTS, F.xxhash64("f"), "label"))
+    return _told(described.select("k", "s", "f", "kind", "word"), words), sample
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return HashingTF(inputCol="f", outputCol="x", numFeatures=BUCKETS, binary=True).transform(rows)
+
 
-    return texts.select("t").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _cut_probability() -> Column:
+    return vector_to_array("probability")[1]
+
+
+class _Fit:
+    """Logistic regressions over a sample with rows of both kinds."""
+
+    def __init__(self, sample: DataFrame, found: dict[float, int]) -> None:
+        self.rows, self.found = _hashed(sample), found
+        self.regression = LogisticRegression(featuresCol="x", weightCol="weight", regParam=REGULARISATION, maxIter=ROUNDS, standardization=False)
+
+    def weighed(self, rows: DataFrame, prior: float) -> DataFrame:
+        weight = F.when(F.col("label") == 1, prior / self.found[1.0]).otherwise((1 - prior) / self.found[0.0])
+        return rows.withColumn("weight", weight * sum(self.found.values()))
+
+    def clean(self) -> DataFrame:
+        """Without intact rows that look cut. Some texts that are taken as intact are cut: each half is judged by a model of the other."""
+        rows, out = self.weighed(self.rows, 0.5), []
+        for half, model in enumerate(self.of_other_half(rows, self.regression.fit)):
+            judged = model.transform(rows.where(F.col("half") == half))
+            out.append(judged.where((F.col("label") == 1) | (_cut_probability() < DOUBTFUL)).select("label", "half", "x"))
+        return cut(out[0].unionByName(out[1]))
+
+    def of_other_half(self, rows: DataFrame, fit: Callable) -> list:
+        """The models that judge halves 0 and 1. Iterations are short jobs, so both fits run at once."""
+        with ThreadPoolExecutor(2) as pool:
+            return list(pool.map(lambda half: fit(rows.where(F.col("half") != half)), (0, 1)))
+
+    def model(self, rows: DataFrame):
+        return self.regression.fit(self.weighed(rows, PRIOR))
+
+
+def _fit(sample: DataFrame) -> _Fit | None:
+    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    return _Fit(sample, found) if len(found) == 2 else None
 
 
 def score(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -218,63 +338,24 @@ def score(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     an empty result. Without training rows of both kinds nothing can be fitted and every
     score is 0.
     """
-    named = [(c, F.col(f"`{n}`").alias(c)) for c, n in (("k", key), ("t", text), ("s", source))]
-    texts = df.select(*(c for _, c in named)).where(F.col("t").rlike(r"\S")).withColumn("s", F.coalesce("s", F.lit("")))
-    kind = texts.schema["k"].dataType.simpleString()
-    sizes = texts.select(F.col("s").alias("source"), F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), F.xxhash64("t").alias("h"))
-    limits = field_limits(sizes.distinct())
-    everywhere = sorted({x for each in limits.values() for x in each})
+    described, sample = _prepared(df, key, text, source)
+    fit = _fit(sample)
+    if fit is None:
+        return described.select(F.col("k").alias(key), F.col("s").alias(source), F.lit(0.0).alias("score"))
+    scored = fit.model(fit.clean()).transform(_hashed(described))
+    return scored.select(F.col("k").alias(key), F.col("s").alias(source), _cut_probability().alias("score"))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [features(t, limits.get(s, [])) for t, s in zip(batch["t"], batch["s"])]
-            yield pd.DataFrame({"k": batch["k"], "s": batch["s"], "f": [f for f, _ in rows], "word": [w for _, w in rows]})
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t, s in zip(batch["t"], batch["s"]):
-                own = limits.get(s, [])
-                f, w = features(t, own)
-                if "json open" in f or _length_features(t, own) in ("limit", "near"):
-                    continue  # hardly intact
-                rng = random.Random(f"{len(t)} {t[:200]}")
-                half = rng.randrange(2)
-                rows.append((0.0, f, w, half))
-                for _ in range(CUTS_EACH if len(t) > 60 else 0):
-                    rows.append((1.0, *features(cut_artificially(t, rng, own or everywhere), own or everywhere), half))
-            if rows:
-                yield pd.DataFrame(rows, columns=["label", "f", "word", "half"])
-
-    described = cut(texts.mapInPandas(describe, f"k {kind}, s string, f array<string>, word string"))
-    share = TRAIN_TEXTS / max(1, described.count())
-    sample = texts.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
-    sample = sample.mapInPandas(examples, "label double, f array<string>, word string, half int")
-    words = cut(_known_words(texts))
-    sample = cut(_with_words(sample, words))
-    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(found) < 2:
-        return described.select(F.col("k").alias(key), F.col("s").alias(source), F.lit(0.0).alias("score"))
-    weigh = lambda prior: F.when(F.col("label") == 1, prior / found[1.0]).otherwise((1 - prior) / found[0.0]) * sum(found.values())
-    p = lambda df: vector_to_array("probability")[1]
-    hashing = HashingTF(inputCol="f", outputCol="x", numFeatures=BUCKETS, binary=True)
-    regression = LogisticRegression(featuresCol="x", weightCol="weight", regParam=REGULARISATION, maxIter=ROUNDS, standardization=False)
-    # Some texts that are taken as intact are cut: each half of the sample is judged by a model of the other half.
-    balanced, clean = hashing.transform(sample).withColumn("weight", weigh(0.5)), []
-    for half in (0, 1):
-        judged = regression.fit(balanced.where(F.col("half") != half)).transform(balanced.where(F.col("half") == half))
-        clean.append(judged.where((F.col("label") == 1) | (p(judged) < DOUBTFUL)).select("label", "x"))
-    model = regression.fit(clean[0].unionByName(clean[1]).withColumn("weight", weigh(PRIOR)))
-    scored = model.transform(hashing.transform(_with_words(described, words)))
-    return scored.select(F.col("k").alias(key), F.col("s").alias(source), p(scored).alias("score"))
-
-
-def _with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Features of whether the last word is known elsewhere; rows that end in none keep theirs."""
-    rows = rows.withColumn("w", F.when(F.col("word") != "", F.col("word")))
-    n = F.coalesce("n", F.lit(0))
-    level = F.when(n == 0, "0").when(n < 3, "1").when(n < 10, "3").when(n < 100, "10").otherwise("100")
-    first = F.split(F.coalesce(F.element_at(F.filter("f", lambda x: x.contains("|terminal ")), 1), F.lit("")), r"\|")[0]
-    told = F.array(F.concat(F.lit("word "), level), F.concat(first, F.lit("|word "), level))
-    known = rows.join(words.withColumnRenamed("word", "known"), F.col("w") == F.col("known"), "left")
-    return known.withColumn("f", F.when(F.col("w").isNotNull(), F.concat("f", told)).otherwise(F.col("f"))).drop("w", "n", "known", "word")
+def held_out_accuracy(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``(label, n, n_called_cut)`` of the sample: each half's texts and artificial cuts, judged by a model of the other half.
+
+    Label 0 has texts taken as intact, among them those that are cut in truth.
+    """
+    fit = _fit(_prepared(df, key, text, source)[1])
+    if fit is None:
+        return df.sparkSession.createDataFrame([], "label double, n long, n_called_cut long")
+    rows, parts = fit.clean(), []
+    for half, model in enumerate(fit.of_other_half(rows, fit.model)):
+        parts.append(model.transform(fit.rows.where(F.col("half") == half)).select("label", _cut_probability().alias("p")))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= DECISION).alias("n_called_cut"))

@@ -52,3 +52,17 @@ def test_limits(spark):
     rows = [("a", 5000, 5000, i) for i in range(30)] + [("a", i, i, 100 + i) for i in range(400, 3000)] + [("b", 5000, 5010, 7)]
     got = T.field_limits(spark.createDataFrame(rows, "source string, chars int, bytes int, h long"))
     assert {k: sorted(v) for k, v in got.items()} == {"a": [("bytes", 5000), ("chars", 5000)]}
+
+
+def test_held_out_rows(spark):
+    df = spark.createDataFrame(corpus()[0], "doc_id long, text string, source string")
+    got = {r.label: r.n_called_cut / r.n for r in T.held_out_accuracy(df, "doc_id", "text", "source").collect()}
+    assert got[1.0] >= 0.9 and got[0.0] <= 0.1
+    assert T.held_out_accuracy(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_whole_texts_count():
+    text = "# %%\nsplendidly = 1\n" + "x = 2\n" * 3000 + "splendidly"
+    found, _, word = T.features(text, [])
+    assert word == "splendidly" and any(f.endswith("here True|False") for f in found)
+    assert T.features('{"metadata": {' + '"a": 1, ' * 500 + '"b": 2}, "cells": [{"so', [])[0][0] == "json open"
