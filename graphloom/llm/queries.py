@@ -1,6 +1,6 @@
 """Queries of the numbered problems and their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -92,6 +92,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _normalised(text: str) -> Column:
+    """Words in lower case with single blanks between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def p5_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks that show evaluation items almost: passages of five words that cover four fifths of an item or more."""
+    training = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), _normalised("text").alias("text"))
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), _normalised("text").alias("text"), "split", F.col("kind").alias("source"))
+    rows = split_overlap.overlapping_rows(training, items, words=5, least=0.8)
+    return rows.select(F.col("training_id").alias("doc_id"), F.col("evaluation_id").alias("item_id"), "split", F.round("covered", 6).alias("covered"))
+
+
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation rows that leaked, and pairs of rows, per split and source."""
     return p5_rows(spark, folder).groupBy("split", "source").agg(
@@ -146,7 +159,7 @@ def p8_held_out(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.held_out_accuracy(table(spark, folder, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p6_ids, p7_found, p7_items, p8_found, p8_report, p8_held_out)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p5_items, p6_ids, p7_found, p7_items, p8_found, p8_report, p8_held_out)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),
@@ -164,10 +177,18 @@ r AS (SELECT split, edge_id, source, coalesce(f.node, u) AS a, coalesce(g.node,
 k AS (SELECT split, edge_id, source, least(a, b) || ' ' || greatest(a, b) AS pair FROM r WHERE a <> b),
 pairs AS (SELECT t.edge_id AS ta, e.edge_id AS ea, e.split, e.source FROM k t JOIN k e ON t.pair = e.pair WHERE t.split = 'train' AND e.split <> 'train')
 """
+_WORDS_OF = "list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_ITEMS = f"""
+WITH d AS (SELECT doc_id, {_WORDS_OF} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, split, {_WORDS_OF} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
+ig AS (SELECT item_id, split, len(w) AS n, k, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT item_id, split, w, unnest(range(0, greatest(1, len(w) - 4))) AS k FROM i WHERE len(w) > 0)),
+marks AS (SELECT DISTINCT doc_id, item_id, split, n, unnest(range(k, least(k + 5, n))) AS at_ FROM dg JOIN ig USING (g))
+"""
 SQL = {
     "p1_found": "SELECT rec_id FROM seqs WHERE length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) > 1022",
     "p4_found": _TOP + "SELECT u, v FROM t WHERE rank <= 10",
     "p4_top": _TOP + "SELECT u, v, w, rank FROM t WHERE rank <= 10",
     "p5_found": _OVERLAPS + "SELECT least(ta, ea) AS edge_a, greatest(ta, ea) AS edge_b FROM pairs",
+    "p5_items": _ITEMS + "SELECT doc_id, item_id, split, round(count(*) / n, 6) AS covered FROM marks GROUP BY doc_id, item_id, split, n HAVING count(*) / n >= 0.8",
     "p5_report": _OVERLAPS + "SELECT split, source, count(DISTINCT ea) AS n_rows, count(*) AS n_pairs FROM pairs GROUP BY 1, 2",
 }

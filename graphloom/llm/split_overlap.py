@@ -1,80 +1,113 @@
-"""Records of evaluation splits that the training split holds as well.
+"""Records of evaluation splits that the training split holds as well, exactly or almost.
 
-Evaluation texts are cut into passages of ``words`` consecutive words. Passages are sharded by
-hash; a training text goes to the shards of its own passages, and only there. Each shard builds
-an Aho-Corasick automaton of its evaluation passages and scans its training texts with it. The
-matched intervals are merged into the coverage of each evaluation text by each training text.
+Evaluation texts are cut into passages of ``words`` consecutive words. They are sharded so that the
+passages of a text stay together; each shard makes one Aho-Corasick automaton, which scans every
+training text where it lies, without a shuffle. The matched intervals of an evaluation text
+are merged into its coverage by the training text.
 """
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import skew
+from ..runtime import cut
 
-SHARDS = 256
+#: Characters of the passages of a shard at most, but for one longer text; an automaton takes some ten bytes each.
+SHARD = 16_000_000
+SALTS = 32
+_made: dict = {}
 
 
-def _passages(texts: DataFrame, words: int, shards: int) -> DataFrame:
-    """``(text, at, passage, shard)`` of each passage; a text of fewer words is one passage."""
-    spread = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - words)),
-        lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, words), " ").alias("passage")),
-    )
-    rows = texts.select("text", F.split("text", " +").alias("w")).select("text", F.explode(spread).alias("p"))
-    return rows.select("text", "p.at", "p.passage", F.pmod(F.xxhash64("p.passage"), F.lit(shards)).cast("int").alias("shard"))
+class _Passages:
+    """The automaton of a shard's passages and where each stands in which text."""
 
+    def __init__(self, texts: list[tuple[int, str]], words: int) -> None:
+        self.words, self.sizes = words, {}
+        places = defaultdict(list)
+        for number, text in texts:
+            w = text.split(" ")
+            self.sizes[number] = len(w)
+            for at in range(max(1, len(w) - words + 1)):
+                places[" ".join(w[at : at + words])].append((number, at))
+        self.automaton = ahocorasick.Automaton()
+        for passage, where in places.items():
+            self.automaton.add_word(f" {passage} ", where)
+        if places:
+            self.automaton.make_automaton()
 
-def _scan(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-    """Which passages of a shard its training texts show, as whole words."""
-    found = []
-    if len(evaluation) and len(training):
-        automaton = ahocorasick.Automaton()
-        for passage in evaluation["passage"]:
-            automaton.add_word(f" {passage} ", passage)
-        automaton.make_automaton()
-        for text in training["text"]:
-            found += [(text, passage) for passage in {p for _, p in automaton.iter(f" {text} ")}]
-    return pd.DataFrame(found, columns=["training", "passage"], dtype="object")
+    def coverage(self, text: str) -> Iterator[tuple[int, float]]:
+        """Evaluation texts of which ``text`` shows a passage, and the share of their words that such passages cover."""
+        if not self.sizes:
+            return
+        begins = defaultdict(set)
+        for _, where in self.automaton.iter(f" {text} "):
+            for number, at in where:
+                begins[number].add(at)
+        for number, places in begins.items():
+            size, covered, end = self.sizes[number], 0, 0
+            for at in sorted(places):
+                reach = min(at + self.words, size)
+                covered, end = covered + reach - max(at, end), reach
+            yield number, covered / size
 
 
-def coverage(training: DataFrame, evaluation: DataFrame, words: int, shards: int = SHARDS) -> DataFrame:
-    """``(training, evaluation, covered)`` of texts that share a passage.
+def _passages(name: str, sent: Broadcast, words: int) -> _Passages:
+    """One automaton at a time is kept by a worker, for all its tasks."""
+    if _made.get("name") != name:
+        _made.clear()
+        _made.update(name=name, value=_Passages(sent.value, words))
+    return _made["value"]
 
-    Both inputs have a column ``text`` of normalised words with single blanks between them. Texts
-    count once, however many rows have them; NULL and empty ones don't count. ``covered`` is the
-    share of the evaluation text's words that lie in passages which the training text shows.
+
+def matches(training: DataFrame, evaluation: DataFrame, words: int, least: float, shard: int = SHARD) -> DataFrame:
+    """``(training_id, text_no, covered)`` of training rows that show ``least`` or more of an evaluation text.
+
+    ``evaluation`` has ``text_no, text``, different texts of normalised words with single blanks between them,
+    and ``training`` ``id, text``. NULL and empty texts show nothing. The training texts are read
+    once for each shard.
     """
-    once = lambda df: df.select("text").where("text <> ''").distinct()
-    sought = _passages(once(evaluation), words, shards)
-    read = _passages(once(training), words, shards).select("shard", "text").distinct()
-    matched = (
-        sought.select("shard", "passage").distinct().groupBy("shard")
-        .cogroup(read.groupBy("shard"))
-        .applyInPandas(_scan, "training string, passage string")
-    )
-    shown = matched.distinct().join(sought.select(F.col("text").alias("evaluation"), "at", "passage"), "passage")
-    size = F.size(F.split("evaluation", " +"))
-    span = F.least(F.lit(words), size)
-    marks = F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + span - 1)))
-    merged = shown.groupBy("training", "evaluation").agg(F.size(F.array_distinct(marks)).alias("n"))
-    return merged.select("training", "evaluation", (F.col("n") / size).alias("covered"))
-
-
-def overlapping_rows(training: DataFrame, evaluation: DataFrame, words: int, least: float = 1.0, shards: int = SHARDS, salts: int = 32) -> DataFrame:
+    spark, kind = training.sparkSession, training.schema["id"].dataType.simpleString()
+    evaluation = evaluation.where("text <> ''")
+    characters = evaluation.agg(F.coalesce(F.sum(F.length("text").cast("long") * words), F.lit(0))).first()[0]
+    shards, found = max(1, -(-characters // shard)), None
+    texts = training.select("id", "text").where("text <> ''")
+    for number in range(shards):
+        own = evaluation.where(F.pmod(F.xxhash64("text_no"), F.lit(shards)) == number)
+        sent = spark.sparkContext.broadcast([(r["text_no"], r["text"]) for r in own.select("text_no", "text").collect()])
+
+        def scan(batches: Iterator[pd.DataFrame], sent=sent, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            passages = _passages(name, sent, words)
+            for batch in batches:
+                rows = [(i, number, share) for i, text in zip(batch["id"], batch["text"]) for number, share in passages.coverage(text) if share >= least]
+                yield pd.DataFrame(rows, columns=["training_id", "text_no", "covered"])
+
+        part = texts.mapInPandas(scan, f"training_id {kind}, text_no long, covered double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def overlapping_rows(training: DataFrame, evaluation: DataFrame, words: int, least: float = 1.0, shard: int = SHARD) -> DataFrame:
     """``(training_id, evaluation_id, split, source, covered)`` of rows whose texts overlap by ``least`` or more.
 
-    ``training`` has ``id, text``, ``evaluation`` has ``id, text, split, source``. Every pair of rows
-    comes out, double rows included; a text with a great share of the training rows is spread
-    over ``salts`` tasks.
+    ``training`` has ``id, text``, ``evaluation`` has ``id, text, split, source``; see ``matches``. ``covered`` is
+    the share of the evaluation text's words that lie in passages which the training text
+    shows. Every pair of rows comes out, double rows included; a text that a great share of the
+    training rows show is spread over ``SALTS`` tasks.
     """
-    pairs = coverage(training, evaluation, words, shards).where(F.col("covered") >= least)
-    rows = evaluation.select(F.col("id").alias("evaluation_id"), F.col("text").alias("evaluation"), "split", "source")
-    hot = skew.hot_keys(training, "text")
-    wanted = skew.replicate(pairs.join(rows, "evaluation"), "training", hot, salts)
-    have = training.select(F.col("id").alias("training_id"), F.col("text").alias("training"))
-    have = have.withColumn("salt", skew.salt("training", F.col("training_id"), hot, salts))
-    return have.join(wanted, ["training", "salt"]).select("training_id", "evaluation_id", "split", "source", "covered")
+    texts = cut(evaluation.select("text").where("text <> ''").distinct().withColumn("text_no", F.monotonically_increasing_id()))
+    found = cut(matches(training, texts, words, least, shard))
+    rows = evaluation.select(F.col("id").alias("evaluation_id"), "text", "split", "source")
+    hot = skew.hot_keys(rows, "text")
+    rows = rows.withColumn("salt", skew.salt("text", F.col("evaluation_id"), hot, SALTS))
+    rows = rows.join(skew.replicate(texts, "text", hot, SALTS), ["text", "salt"]).drop("text", "salt")
+    hot = skew.hot_keys(found, "text_no")
+    found = found.withColumn("salt", skew.salt("text_no", F.col("training_id"), hot, SALTS))
+    pairs = found.join(skew.replicate(rows, "text_no", hot, SALTS), ["text_no", "salt"])
+    return pairs.select("training_id", "evaluation_id", "split", "source", "covered")
