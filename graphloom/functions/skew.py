@@ -28,3 +28,9 @@ def replicate(df: DataFrame, key: str, hot: list, salts: int, name: str = "salt"
         return df.withColumn(name, F.lit(0))
     reach = F.when(F.col(key).isin(hot), F.lit(salts - 1)).otherwise(0)
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), reach)))
+
+
+def semi_join(df: DataFrame, keys: DataFrame, key: str, by: Column, hot: list, salts: int) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``keys``, with those of hot keys spread by ``by``."""
+    known = replicate(keys.select(key).distinct(), key, hot, salts, "__salt")
+    return df.withColumn("__salt", salt(key, by, hot, salts)).join(known, [key, "__salt"], "left_semi").drop("__salt")

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -32,25 +33,38 @@ def case(seed, n=200):
     return refs, parents + [(99 + i, *p[1:]) for i, p in enumerate(parents[:5])]
 
 
-def frames(spark, refs, parents):
-    r = spark.createDataFrame([(*x[:3], at(x[3]), "more") for x in refs], O.REFERENCES + ", salt string")
-    p = spark.createDataFrame([(x[0], x[1], at(x[2]), at(x[3]), 1) for x in parents], O.PARENTS + ", spans int")
+REFERENCES = "tbl string, rec_id bigint, name string, at timestamp_ntz"
+PARENTS = "pid bigint, name string, start timestamp_ntz, end timestamp_ntz"
+
+
+def frames(spark, refs, parents, batches=1, seed=0):
+    rng = random.Random(seed)
+    r = spark.createDataFrame([(*x[:3], at(x[3]), "more", rng.randrange(batches)) for x in refs], REFERENCES + ", salt string, batch int")
+    p = spark.createDataFrame([(x[0], x[1], at(x[2]), at(x[3]), 1, rng.randrange(batches)) for x in parents], PARENTS + ", spans int, batch int")
     return r, p
 
 
-def test_batches_equal_brute_force(spark):
+@pytest.mark.parametrize("clock", [[None], [100, 100, 500], [None, 30, 720]])
+def test_batches_equal_brute_force(spark, clock):
     refs, parents = case(1)
-    r, p = frames(spark, refs, parents)
-    for ends in ([], ["2023-03-01", "2023-09-15", "2024-02-01"]):
-        ledger = O.in_batches(r, p, ends)
-        assert {(x.tbl, x.rec_id) for x in ledger.pending.collect()} == brute(refs, parents)
-        assert sum(x.n_orphans for x in ledger.snapshot().collect()) == len(brute(refs, parents))
+    r, p = frames(spark, refs, parents, len(clock))
+    ledger = O.in_batches(r, p, [at(t) for t in clock])
+    want = brute(refs, parents)
+    assert {(x.tbl, x.rec_id) for x in ledger.pending.collect()} == want
+    assert sum(x.n_orphans for x in ledger.snapshot().collect()) == len(want)
+    after = [sum(x.n_orphans for x in ledger.snapshots().where(F.col("batch") == b).collect()) for b in range(len(clock))]
+    moved = {x.batch: x for x in ledger.events().collect()}
+    assert after[-1] == len(want)
+    for b in range(1, len(clock)):
+        assert after[b] - after[b - 1] == moved[b].n_new - moved[b].n_resolved + moved[b].n_reopened
+    if len(clock) > 1:
+        assert sum(x.n_resolved for x in moved.values()) and sum(x.n_reopened for x in moved.values())
 
 
 def test_arrival_in_any_order(spark):
-    """Late parents resolve waiting references, deletions reopen settled ones."""
+    """Late parents resolve waiting references, deletions reopen resolved ones; only changes are written."""
     r, p = frames(spark, [("x", 1, "a", 10), ("x", 2, "a", 50), ("x", 3, "b", 10), ("x", 4, "c", None)], [])
-    state = O.OrphanLedger.empty(spark).advance(r, p)
+    state = O.OrphanLedger().advance(r, p)
     waiting = lambda s: {x.rec_id for x in s.pending.collect()}
     assert waiting(state) == {1, 2, 3, 4}
     _, p = frames(spark, [], [(1, "a", 5, None), (2, "c", 90, None)])
@@ -59,17 +73,20 @@ def test_arrival_in_any_order(spark):
     _, p = frames(spark, [], [(1, "a", 5, 40)])
     state = state.advance(r.limit(0), p)
     assert waiting(state) == {2, 3}
+    assert [c.count() for c in state.changes] == [4, 3, 1] and [v.count() for v in state.versions] == [0, 2, 1]
+    assert [(x.batch, x.n_new, x.n_resolved, x.n_reopened) for x in state.events().orderBy("batch").collect()] == [(0, 4, 0, 0), (1, 0, 3, 0), (2, 0, 0, 1)]
 
 
 def test_salted_batches(spark, monkeypatch):
     monkeypatch.setattr(O.skew, "hot_keys", lambda *_: ["hot"])
     refs, parents = case(7)
-    assert {(x.tbl, x.rec_id) for x in O.in_batches(*frames(spark, refs, parents), ["2023-09-15"]).pending.collect()} == brute(refs, parents)
+    assert {(x.tbl, x.rec_id) for x in O.in_batches(*frames(spark, refs, parents, 3), [at(50), at(300), at(600)]).pending.collect()} == brute(refs, parents)
 
 
 def test_empty(spark):
     r, p = frames(spark, [], [])
-    assert O.in_batches(r, p, ["2023-06-01"]).pending.count() == 0
+    ledger = O.in_batches(r, p, [None, at(5)])
+    assert ledger.pending.count() == 0 and ledger.snapshots().count() == 0
 
 
 @settings(max_examples=4, deadline=None)
