@@ -29,6 +29,8 @@ REACH = 24
 SLACK = 10
 #: Item fingerprints sent to the executors at once, 8 bytes each; more items are looked for in further passes.
 AT_ONCE = 2_000_000
+#: Characters of the texts whose words are held at once.
+SLICE = 4_000_000
 _SCRIPT = "぀-ヿ㐀-鿿가-힯"
 _WORD = re.compile(rf"[{_SCRIPT}]|[^\W_{_SCRIPT}]+")
 _UNICODE_ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
@@ -51,6 +53,18 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Rows whose texts have up to ``SLICE`` characters together, but for one longer text."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         h = self[word] = zlib.crc32(word.encode(errors="surrogatepass"))
@@ -116,7 +130,7 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in (b.iloc[s] for b in batches for s in _slices(b["t"])):
             split = [words(t) for t in batch["t"]]
             no, at, h = fingerprints(split, hashes)
             size = np.array([len(w) for w in split], dtype=np.int32)
@@ -152,12 +166,13 @@ def _regions(docs: DataFrame, kind: str, marks: DataFrame, least: float) -> Data
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        for batch in batches:
+        known_ones = sought.value  # sorted
+        for batch in (b.iloc[s] for b in batches for s in _slices(b["t"])):
             if len(hashes) > 1_000_000:
                 hashes.clear()
             split = [words(t) for t in batch["t"]]
             no, at, h = fingerprints(split, hashes)
-            known = np.isin(h, sought.value)
+            known = known_ones[np.minimum(np.searchsorted(known_ones, h), len(known_ones) - 1)] == h if len(known_ones) else np.zeros(len(h), dtype=bool)
             no, at, h, rows = no[known], at[known], h[known], []
             ends = np.searchsorted(no, np.arange(len(split) + 1))
             for k in np.unique(no).tolist():

@@ -1,6 +1,6 @@
 """Queries of the numbered problems and their SQL."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -21,6 +21,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("piece_no = 0").select("rec_id")
 
 
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each divided record the digest of what its pieces cover, overlaps taken off, and whether each piece fits and shares what it has to."""
+    p = p1_pieces(spark, folder).withColumn("new", F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substr("piece", F.lit(split_items.OVERLAP + 1))))
+    p = p.withColumn("before", F.lag("piece").over(Window.partitionBy("rec_id").orderBy("piece_no")))
+    shares = F.coalesce(F.right("before", F.lit(split_items.OVERLAP)) == F.left("piece", F.lit(split_items.OVERLAP)), F.lit(True))
+    # As many pieces as a record has.
+    pieces = F.sort_array(F.collect_list(F.struct("piece_no", "new")))
+    return p.groupBy("rec_id").agg(
+        F.md5(F.array_join(F.transform(pieces, lambda x: x["new"]), "")).alias("digest"), F.bool_and((F.length("piece") <= split_items.MAX_LENGTH) & shares).alias("fits")
+    )
+
+
 # 3: the most similar vectors of every vector
 
 
@@ -159,7 +171,7 @@ def p8_held_out(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.held_out_accuracy(table(spark, folder, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p5_items, p6_ids, p7_found, p7_items, p8_found, p8_report, p8_held_out)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p3_found, p3_neighbours, p3_recall, p4_found, p4_top, p5_found, p5_report, p5_items, p6_ids, p7_found, p7_items, p8_found, p8_report, p8_held_out)}
 
 _TOP = f"""
 WITH e AS (SELECT {canonical_sql("u")} AS u, {canonical_sql("v")} AS v, w FROM signal_parts WHERE w > 0 AND NOT isnan(w)),
@@ -186,6 +198,7 @@ marks AS (SELECT DISTINCT doc_id, item_id, split, n, unnest(range(k, least(k + 5
 """
 SQL = {
     "p1_found": "SELECT rec_id FROM seqs WHERE length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) > 1022",
+    "p1_cover": "SELECT rec_id, md5(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS digest, TRUE AS fits FROM seqs WHERE length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) > 1022",
     "p4_found": _TOP + "SELECT u, v FROM t WHERE rank <= 10",
     "p4_top": _TOP + "SELECT u, v, w, rank FROM t WHERE rank <= 10",
     "p5_found": _OVERLAPS + "SELECT least(ta, ea) AS edge_a, greatest(ta, ea) AS edge_b FROM pairs",
