@@ -13,7 +13,7 @@ of all tasks are ranked last.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +42,20 @@ SALTS = 32
 _AT_ONCE = 4096
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    chunks = table.column(name).combine_chunks()
+    return pa.concat_arrays(chunks.chunks) if isinstance(chunks, pa.ChunkedArray) else chunks
+
+
 def usable(vector: Column, size: int) -> Column:
     """Exactly ``size`` finite numbers, not all zero; never NULL."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) == size) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.empty((0, 1))
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Unit vectors in double precision; all are of one length."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     m = m / np.abs(m).max(axis=1, keepdims=True)  # so that no square is lost
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
@@ -145,10 +151,16 @@ class _Search:
             active = active[~(sure | covered)]
 
     def verify(self, members: np.ndarray, x: np.ndarray, active: np.ndarray, mask: np.ndarray) -> None:
-        q, c = np.nonzero(mask)
-        cosine = (x[active] @ x.T)[q, c] if len(q) > DENSE * mask.size else np.einsum("ij,ij->i", x[active[q]], x[c])
-        better = cosine >= self.cosine[members[active[q]], -1]
-        q, c, cosine = q[better], c[better], cosine[better]
+        bound = self.cosine[members[active], -1]
+        if np.count_nonzero(mask) > DENSE * mask.size:
+            product = x[active] @ x.T
+            q, c = np.nonzero(mask & (product >= bound[:, None]))
+            cosine = product[q, c]
+        else:
+            q, c = np.nonzero(mask)
+            cosine = np.einsum("ij,ij->i", x[active[q]], x[c])
+            better = cosine >= bound[q]
+            q, c, cosine = q[better], c[better], cosine[better]
         if not len(q):
             return
         ids = self.ids[members[c]]
@@ -176,8 +188,8 @@ class _Search:
 def _directions(vectors: DataFrame, n: int) -> np.ndarray:
     """A sample of the vectors that is the same on each run."""
     wanted = int(max(1, np.ceil(np.sqrt(n / PER_COARSE)), n * COARSE_EACH // COARSE_CELL))
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
-    return _matrix(rows["vector"]).astype(np.float32)
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
+    return _matrix(_column(rows, "vector")).astype(np.float32)
 
 
 def most_similar(df: DataFrame, key: str, vector: str, k: int = 10, size: int = 64) -> DataFrame:
@@ -219,14 +231,16 @@ def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], "id long, neighbour long, cosine double")
     directions = spark.sparkContext.broadcast(_directions(vectors, n))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _AT_ONCE):
-                part = batch.iloc[at : at + _AT_ONCE]
-                _, cell = _farthest(_matrix(part["vector"]).astype(np.float32), directions.value, COARSE_EACH)
-                yield part.assign(cells=list(cell.astype(np.int32).reshape(len(part), -1)))
-
-    placed = cut(vectors.mapInPandas(assign, "id long, vector array<float>, cells array<int>"))
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                _, cell = _farthest(_matrix(part.column("vector")).astype(np.float32), directions.value, COARSE_EACH)
+                offsets = np.arange(part.num_rows + 1) * (len(cell) // part.num_rows)
+                cells = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), cells], names=["id", "vector", "cells"])
+
+    placed = cut(vectors.mapInArrow(assign, "id long, vector array<float>, cells array<int>"))
     # As many names as directions at most; cells over BLOCK vectors are few.
     sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
     crowded = {r["cell"]: -(-r["count"] // BLOCK) for r in sizes.where(F.col("count") > BLOCK).collect()}
@@ -240,13 +254,13 @@ def _cell_neighbours(vectors: DataFrame, k: int) -> DataFrame:
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tasks = placed.select("cell", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "vector")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        side = group["block"].to_numpy() if group["a"].iloc[0] != group["b"].iloc[0] else None
-        task = _Search(group["id"].to_numpy(), _matrix(group["vector"]), k, side)
+    def search(group: pa.Table) -> pa.Table:
+        side = _column(group, "block").to_numpy() if group["a"][0].as_py() != group["b"][0].as_py() else None
+        task = _Search(_column(group, "id").to_numpy(), _matrix(_column(group, "vector")), k, side)
         task.run()
-        return pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), task.result())))
+        return pa.table(dict(zip(("id", "neighbour", "cosine"), task.result())))
 
-    return tasks.groupBy("cell", "a", "b").applyInPandas(search, "id long, neighbour long, cosine double")
+    return tasks.groupBy("cell", "a", "b").applyInArrow(search, "id long, neighbour long, cosine double")
 
 
 def _expand(copies: DataFrame, found: DataFrame, k: int) -> DataFrame:
