@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def require(df: DataFrame, what: str, least: int = 1) -> DataFrame:
+    """``df``, if it has ``least`` rows or more; otherwise a ValueError that says ``what`` is missing. Reads ``least`` rows."""
+    if df.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} {what}")
+    return df
+
+
 def clean(edges: DataFrame) -> DataFrame:
     """Edges with two different ids and a weight that is a number."""
     return edges.select("u", "v", F.col("w").cast("double").alias("w")).where("u <> v and w is not null and not isnan(w)")

@@ -1,13 +1,19 @@
 """Graphs made of similarities and of other graphs."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import skew
 from ..runtime import cut
 from . import edges as E
 from .normalize import gate, over_graph, over_source, top_per_source
+from .sequences import linked
 from .vectors import exact_neighbours
 
+SALTS = 16
+
 
 def neighbour_graph(queries: DataFrame, base: DataFrame, candidates: int = 500, top: int = 20, weight: str = "cos_pos", temperature: float = 0.1) -> DataFrame:
     """Undirected ``(u, v, w)`` from the ``candidates`` most similar rows of each query.
@@ -36,13 +42,17 @@ def from_candidates(scored: DataFrame, top: int, only_positive: bool = True) ->
 def with_items(pairs: DataFrame, items: DataFrame, sources_at_once: int | None = None) -> DataFrame:
     """``pairs(src, dst)`` with the items of both ends as structs ``a`` and ``b``; pairs without them are left out.
 
-    Few sources with many pairs each: with ``sources_at_once``, the items of so many sources are broadcast
+    Hot ends are spread over tasks. Few sources with many pairs each: with ``sources_at_once``, the items of so many sources are broadcast
     at a time, so that no item is shuffled once a pair.
     """
     rest = F.struct(*[c for c in items.columns if c != "id"])
     a, b = items.select(F.col("id").alias("src"), rest.alias("a")), items.select(F.col("id").alias("dst"), rest.alias("b"))
     if sources_at_once is None:
-        return pairs.join(a, "src").join(b, "dst")
+        for end, side in (("src", a), ("dst", b)):
+            hot = skew.hot_keys(pairs, end)
+            salted = pairs.withColumn("__salt", skew.salt(end, F.monotonically_increasing_id(), hot, SALTS))
+            pairs = salted.join(skew.replicate(side, end, hot, SALTS, "__salt"), [end, "__salt"]).drop("__salt")
+        return pairs
     a = cut(a.join(pairs.select("src").distinct(), "src", "left_semi"))
     blocks, out = max(1, -(-a.count() // sources_at_once)), None
     for k in range(blocks):
@@ -52,6 +62,24 @@ def with_items(pairs: DataFrame, items: DataFrame, sources_at_once: int | None =
     return out
 
 
+def score_pairs(pairs: DataFrame, items: DataFrame, score: Column, sources_at_once: int | None = None) -> DataFrame:
+    """``(src, dst, w)``: ``score`` of each pair; scores that are no finite numbers count as 0. See ``scored_graph``."""
+    scored = with_items(pairs.select("src", "dst"), items, sources_at_once).withColumn("w", score.cast("double"))
+    sound = F.when(F.isnan("w") | (F.abs("w") == float("inf")), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
+    return scored.select("src", "dst", sound.alias("w"))
+
+
+def joint_surplus(pairs: DataFrame, items: DataFrame, score: Callable[[Column], Column], linker: int = 10) -> DataFrame:
+    """``(src, dst, w)``: what ``score`` finds in the linked pair of sequences beyond what it finds in either alone.
+
+    ``items`` has ``id, seq``; ``score`` makes a column of one of sequences, by an expression or a model. Each
+    sequence is scored once alone, however many pairs it is in.
+    """
+    single = cut(items.select("id", "seq", score(F.col("seq")).cast("double").alias("alone")))
+    joint = score(linked(F.col("a.seq"), F.col("b.seq"), linker)).cast("double")
+    return score_pairs(pairs, single, joint - F.col("a.alone") - F.col("b.alone"))
+
+
 def scored_graph(candidates: DataFrame, items: DataFrame, score: Column, top: int = 20, norm: str = "sigmoid_z", temperature: float = 1.0, sources_at_once: int | None = None) -> DataFrame:
     """Undirected graph of candidate pairs ``src, dst`` weighed by ``score``.
 
@@ -60,9 +88,8 @@ def scored_graph(candidates: DataFrame, items: DataFrame, score: Column, top: in
     as those of ``scorers``. Scores that are no finite numbers count as 0. They are normalised
     over the candidates of a source before the ``top`` are taken. ``sources_at_once``: see ``with_items``.
     """
-    pairs = with_items(candidates.select("src", "dst"), items, sources_at_once).withColumn("w", score.cast("double"))
-    sound = F.when(F.isnan("w") | (F.abs("w") == float("inf")), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
-    return from_candidates(over_source(pairs.select("src", "dst", sound.alias("w")), norm, temperature=temperature), top)
+    scored = score_pairs(candidates, items, score, sources_at_once)
+    return from_candidates(over_source(scored, norm, temperature=temperature), top)
 
 
 def merge_parts(parts: DataFrame) -> DataFrame:

@@ -62,6 +62,35 @@ def candidates(scores: DataFrame, seeds: DataFrame, labels: DataFrame) -> DataFr
     return rest.join(labels.select("id", "y"), "id", "left").select("graph", "id", "score", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
+def evaluation(scores: DataFrame, seeds: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """``summary`` of each graph's candidates with what it was counted from, seeds included: nodes, seeds, positives, rounds.
+
+    ``scores`` has ``graph, id, score, iterations, converged``. A graph without another node than seeds has no candidates and NULL in their place.
+    """
+    known = seeds.select("id", F.lit(True).alias("seed")).where("id is not null").distinct()
+    told = scores.join(known, "id", "left").join(labels.select("id", "y"), "id", "left")
+    counts = told.groupBy("graph").agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        F.count("seed").alias("n_seeds_in_graph"),
+        F.count_if(F.col("y") > 0).alias("n_pos_total"),
+        F.max("iterations").alias("iterations"),
+        F.bool_and("converged").alias("converged"),
+    )
+    return counts.join(summary(candidates(scores, seeds, labels), k), "graph", "left")
+
+
+def by_metric(summaries: DataFrame, metric: str) -> DataFrame:
+    """The greatest ``metric`` first, missing ones last, then by name; as it is where there is no such column."""
+    return summaries.orderBy(F.desc_nulls_last(metric), "graph") if metric in summaries.columns else summaries
+
+
+def named(summaries: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Graphs under the names given for them, without ``.tsv``; others keep theirs."""
+    plain = F.replace(F.col("graph"), F.lit(".tsv"), F.lit(""))
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map().cast("map<string,string>")
+    return summaries.withColumn("graph", F.coalesce(table[plain], plain))
+
+
 def best_first(summaries: DataFrame) -> DataFrame:
     """Graphs with ``place``: by AUPRC, then recall, missing ones first, then name. One row per graph."""
     order = [F.desc_nulls_first("auprc"), F.desc_nulls_first("recall_at_k"), F.asc("graph")]

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
+from ..runtime import cut
 
 TINY = 1e-12
 SALTS = 16
@@ -33,9 +34,8 @@ def over_graph(edges: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"no such normalisation: {mode}")
 
 
-def _statistics(edges: DataFrame, source: str, what: dict[str, Column]) -> DataFrame:
-    """``edges`` with aggregates of each source, joined back; edges of hot sources are spread over tasks."""
-    hot = skew.hot_keys(edges, source)
+def _statistics(edges: DataFrame, source: str, hot: list, what: dict[str, Column]) -> DataFrame:
+    """``edges`` with aggregates of each source, joined back; edges of ``hot`` sources are spread over tasks."""
     stats = skew.replicate(edges.groupBy(source).agg(*(c.alias(n) for n, c in what.items())), source, hot, SALTS, "__salt")
     by = skew.salt(source, F.monotonically_increasing_id(), hot, SALTS)
     return edges.withColumn("__salt", by).join(stats, [source, "__salt"]).drop("__salt")
@@ -50,18 +50,20 @@ def over_source(edges: DataFrame, mode: str, source: str = "src", temperature: f
     w, t = F.col("w"), max(temperature, TINY)
     if mode in ("raw", "clip01"):
         return over_graph(edges, mode)
+    if mode not in ("minmax", "sigmoid_z", "softmax"):
+        raise ValueError(f"no such normalisation: {mode}")
+    edges = cut(edges)  # read for hot sources, for the statistics and for what they are joined to
+    hot = skew.hot_keys(edges, source)
     if mode == "minmax":
-        told = _statistics(edges, source, {"__low": F.min("w"), "__high": F.max("w")})
+        told = _statistics(edges, source, hot, {"__low": F.min("w"), "__high": F.max("w")})
         return told.withColumn("w", _minmax(w, F.col("__low"), F.col("__high"))).drop("__low", "__high")
     if mode == "sigmoid_z":
-        told = _statistics(edges, source, {"__mean": F.avg("w"), "__sd": F.stddev_pop("w")})
+        told = _statistics(edges, source, hot, {"__mean": F.avg("w"), "__sd": F.stddev_pop("w")})
         z = (w - F.col("__mean")) / (F.col("__sd") + TINY)
         return told.withColumn("w", 1 / (1 + F.exp(-z / t))).drop("__mean", "__sd")
-    if mode == "softmax":
-        top = _statistics(edges, source, {"__top": F.max("w")}).withColumn("__e", F.exp((w - F.col("__top")) / t)).drop("__top")
-        told = _statistics(top, source, {"__sum": F.sum("__e")})
-        return told.withColumn("w", F.col("__e") / (F.col("__sum") + TINY)).drop("__e", "__sum")
-    raise ValueError(f"no such normalisation: {mode}")
+    top = _statistics(edges, source, hot, {"__top": F.max("w")}).withColumn("__e", F.exp((w - F.col("__top")) / t)).drop("__top")
+    told = _statistics(top, source, hot, {"__sum": F.sum("__e")})
+    return told.withColumn("w", F.col("__e") / (F.col("__sum") + TINY)).drop("__e", "__sum")
 
 
 def gate(p: Column, beta: float, form: str) -> Column:

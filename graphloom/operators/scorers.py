@@ -2,7 +2,7 @@
 
 A scorer or encoder is anything that makes a column of columns. Those that call a model load it
 once in a Python worker and work on Arrow batches; ``pandas_encoder`` makes one of a factory. The
-deterministic ones here need no model and serve where none is installed.
+deterministic ones here are expressions and serve where no model is installed.
 """
 
 from collections.abc import Callable, Iterator
@@ -23,8 +23,10 @@ def kmers(seq: Column, k: int = 3) -> Column:
 
 
 def kmer_codes(seq: Column, k: int = 3) -> Column:
-    """``kmers`` of ASCII letters as numbers, for ``k`` up to 3: a sixth of the bytes."""
-    return F.transform(kmers(seq, k), lambda x: F.conv(F.hex(x), 16, 10).cast("int"))
+    """``kmers`` of the letters A to Z as numbers of two bytes, for ``k`` up to 3; no letter counts as 0."""
+    letter = lambda x, i: F.greatest(F.lit(0), F.ascii(F.substr(x, F.lit(i), F.lit(1))) - 64)
+    code = lambda x: sum((letter(x, i + 1) * 27 ** (k - 1 - i) for i in range(k)), F.lit(0))
+    return F.transform(kmers(seq, k), lambda x: code(x).cast("short"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -33,11 +35,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def linked_surplus(single_a: Column, single_b: Column, joint: Column) -> Column:
-    """What a model finds in the linked pair beyond what it finds in either part."""
-    return joint - single_a - single_b
-
-
 def pandas_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[Column], Column]:
     """A vectorized encoder; ``load`` makes the model in each worker, which maps texts to rows of a matrix."""
 
@@ -50,13 +47,12 @@ def pandas_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Cal
     return encode
 
 
-def composition(texts: list[str]) -> np.ndarray:
-    """Share of each residue; stands in for an encoder."""
-    out = np.zeros((len(texts), len(ALPHABET)))
-    for i, t in enumerate(texts):
-        for j, c in enumerate(ALPHABET):
-            out[i, j] = (t or "").count(c)
-    return out / np.maximum(1, out.sum(axis=1, keepdims=True))
+def composition(seq: Column) -> Column:
+    """Share of each residue of ``ALPHABET`` among all of them; stands in for an encoder. All 0 where there are none, as of NULL."""
+    seq = F.coalesce(seq, F.lit(""))
+    counts = F.array(*(F.length(seq) - F.length(F.replace(seq, F.lit(c), F.lit(""))) for c in ALPHABET))
+    total = F.greatest(F.lit(1), F.aggregate(counts, F.lit(0), lambda s, x: s + x))
+    return F.transform(counts, lambda x: (x / total).cast("float"))
 
 
-composition_encoder = pandas_encoder(lambda: composition)
+composition_encoder = composition

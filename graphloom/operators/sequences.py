@@ -1,5 +1,7 @@
 """Residue sequences as text columns."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,16 @@ def last_of_id(records: DataFrame, order: str) -> DataFrame:
 
 
 def mean_of_windows(encoded: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(key, vector)``: the unweighted mean of the vectors of a key, element by element."""
-    items = encoded.select(key, F.posexplode(vector).alias("at", "x"))
-    means = items.groupBy(key, "at").agg(F.avg("x").alias("x"))
-    # As many entries per key as a vector has elements.
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda e: e["x"])
-    return means.groupBy(key).agg(ordered.alias(vector))
+    """``(key, vector)``: the unweighted mean of the vectors of a key, element by element.
+
+    NULL vectors don't count; all others have the same length. One partial sum per key and task is shuffled.
+    """
+    means = encoded.where(F.col(vector).isNotNull()).groupBy(key).agg(Summarizer.mean(array_to_vector(vector)).alias("__mean"))
+    return means.select(key, vector_to_array("__mean").alias(vector))
+
+
+def required(listed: DataFrame, records: DataFrame) -> DataFrame:
+    """``listed(id)`` with its sequences; fails, naming it, where one is missing."""
+    joined = listed.join(records.select("id", "seq"), "id", "left")
+    told = F.raise_error(F.concat(F.lit("no sequence: "), "id")).cast("string")
+    return joined.withColumn("seq", F.coalesce("seq", told))

@@ -40,25 +40,29 @@ def node_split(edges: DataFrame, seed: int = 0, train: float = 0.8, val: float =
     return pairs.join(a, "u").join(b, "v").where("__u = __v").select("u", "v", F.col("__u").alias("split"))
 
 
-def negatives(edges: DataFrame, ratio: float = 1.0, seed: int = 0, tries: int = 4, salts: int = 32) -> DataFrame:
+def negatives(edges: DataFrame, ratio: float = 1.0, seed: int = 0, tries: int = 4, most: int = 48) -> DataFrame:
     """``(u, v)`` pairs that are no edges, ``ratio`` times as many, with ends drawn by degree.
 
     Each end of each edge is a draw of its node, so that a shuffled pairing of all ends draws by
     degree without a table of weights: the ends are put in two random orders, and the n-th of one meets
-    the n-th of the other. Self-loops, edges and repeated pairs are rejected; ``tries`` pairings give
-    more than enough unless the graph is nearly complete, in which case fewer pairs come out.
+    the n-th of the other. Self-loops, edges and repeated pairs are rejected. ``tries`` pairings mostly give
+    more than enough; as long as they don't, as many more follow, up to ``most``. Fewer pairs come out only
+    where those don't hold enough either, as in a graph that is nearly complete.
     """
     pairs = cut(E.distinct_pairs(edges))
     ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("id"))
-    drawn = None
-    for k in range(tries):
+    wanted, drawn = int(pairs.count() * ratio), None
+    for k in range(most):
         left = ranked(ends.withColumn("__h", shuffled(seed + 2 * k, "id", "u", "v")), [F.asc("__h"), F.asc("id"), F.asc("u"), F.asc("v")])
         right = ranked(ends.withColumn("__h", shuffled(seed + 2 * k + 1, "id", "u", "v")), [F.asc("__h"), F.asc("id"), F.asc("u"), F.asc("v")])
         met = left.select("rank", F.col("id").alias("u")).join(right.select("rank", F.col("id").alias("v")), "rank").select("u", "v")
         drawn = met if drawn is None else drawn.unionByName(met)
-    fresh = E.distinct_pairs(drawn).join(pairs, ["u", "v"], "left_anti").withColumn("__h", shuffled(seed - 1, "u", "v"))
-    wanted = F.broadcast(pairs.agg(F.floor(F.count(F.lit(1)) * ratio).alias("__n")))  # one row
-    return ranked(fresh, [F.asc("__h"), F.asc("u"), F.asc("v")]).join(wanted, how="cross").where("rank <= __n").select("u", "v")
+        if (k + 1) % tries == 0 or k + 1 == most:
+            drawn = cut(E.distinct_pairs(drawn).join(pairs, ["u", "v"], "left_anti"))
+            if drawn.count() >= wanted:
+                break
+    rows = drawn.withColumn("__h", shuffled(seed - 1, "u", "v"))
+    return ranked(rows, [F.asc("__h"), F.asc("u"), F.asc("v")]).where(F.col("rank") <= wanted).select("u", "v")
 
 
 def pair_features(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ Logistic regression over the pair features stands in for a network, which Spark'
 don't offer with the same layers and optimizer; weights are not comparable number by number.
 """
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from . import edges as E
 from .graphs import from_candidates, with_items
 from .splits import features, negatives, pair_features
 
@@ -18,7 +19,9 @@ _SURE = 1e-12
 
 
 def labelled(positives: DataFrame, vectors: DataFrame, ratio: float = 1.0, seed: int = 0) -> DataFrame:
-    """``(u, v, y, x)`` of the positives and as many degree-matched negatives."""
+    """``(u, v, y, x)`` of the positives and as many degree-matched negatives; fails without positives or two nodes."""
+    E.require(positives, "positive pairs")
+    E.require(vectors.select("id").distinct(), "nodes with a vector", 2)
     both = positives.select("u", "v").withColumn("y", F.lit(1.0)).unionByName(negatives(positives, ratio, seed).withColumn("y", F.lit(0.0)))
     return cut(pair_features(cut(both), vectors).withColumn("x", array_to_vector("x")))
 
@@ -36,6 +39,14 @@ def train(examples: DataFrame, held_out: DataFrame, penalties: tuple[float, ...]
     return best[1]
 
 
+def save(model: LogisticRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
+
+
 def supervised_graph(candidates: DataFrame, vectors: DataFrame, model, top: int = 20, form: str = "sigmoid", sources_at_once: int | None = None) -> DataFrame:
     """Undirected graph of ``candidates(src, dst)`` weighed by the model's probability, or its logit.
 

@@ -4,17 +4,21 @@ The signal graph is ``signal_parts``; the prior graph weighs each pair by how ma
 positive edge tables name it. Ids are compared by canonical spelling.
 """
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import diffusion, graphs, metrics, normalize, splits
 from ..operators import edges as E
+from ..runtime import cut
 from ..streaming.merge_stream import merge_files
 from .orphan_queries import canonical_sql
 from .tables import table
 
-ROUNDS, TOP = 10, 200
+#: Most rounds and tolerance, looked at every so many rounds; nodes of a list.
+ROUNDS, TOLERANCE, EVERY, TOP = 500, 1e-10, 10, 200
 SPLITS = ("train", "val", "test")
 
 
@@ -32,9 +36,8 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.merge_parts(parts(spark, folder))
 
 
-def prior(spark: SparkSession, folder: str) -> DataFrame:
-    tables = [table(spark, folder, f"{s}_pos_edges").select("u", "v") for s in SPLITS]
-    rows = tables[0].unionByName(tables[1]).unionByName(tables[2])
+def prior(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    rows = functools.reduce(DataFrame.unionByName, (table(spark, folder, f"{s}_pos_edges").select("u", "v") for s in splits))
     return E.merge_sum(_canonical(rows).withColumn("w", F.lit(1.0)))
 
 
@@ -146,45 +149,48 @@ def label_map(spark, folder):
     return metrics.label_map(rows, "rec_id")
 
 
+def trained(spark, folder):
+    """The prior without the edges that labels come from."""
+    return prior(spark, folder, ("train",))
+
+
 def _graphs(spark, folder, *names):
     made = {
         "signal": lambda: signal(spark, folder),
-        "prior": lambda: prior(spark, folder),
-        "mix": lambda: graphs.gated_mix(prior(spark, folder), parts(spark, folder)),
-        "reweight": lambda: E.merge_max(graphs.reweight(prior(spark, folder), parts(spark, folder))),
+        "prior": lambda: trained(spark, folder),
+        "mix": lambda: graphs.gated_mix(trained(spark, folder), parts(spark, folder)),
+        "reweight": lambda: E.merge_max(graphs.reweight(trained(spark, folder), parts(spark, folder))),
     }
-    each = [made[n]().withColumn("graph", F.lit(n)) for n in names]
-    out = each[0]
-    for g in each[1:]:
-        out = out.unionByName(g)
-    return out
+    return functools.reduce(DataFrame.unionByName, (made[n]().withColumn("graph", F.lit(n)) for n in names))
 
 
 def _scores(spark, folder, *names):
-    return diffusion.pagerank(_graphs(spark, folder, *names), seeds(spark, folder), iterations=ROUNDS, tolerance=None)
+    """Scores to the tolerance."""
+    return _rounded(diffusion.pagerank(_graphs(spark, folder, *names), seeds(spark, folder), 0.85, ROUNDS, TOLERANCE, EVERY), "score", digits=9)
+
 
+def _seeds_and_labels(spark, folder):
+    return diffusion.seed_vector(seeds(spark, folder)), metrics.label_map(labels(spark, folder))
 
-def _converged(spark, folder, *names):
-    """Scores to the tolerance of the reference."""
-    return diffusion.pagerank(_graphs(spark, folder, *names), seeds(spark, folder))
 
+def _candidates(spark, folder, *names):
+    return metrics.candidates(_scores(spark, folder, *names), *_seeds_and_labels(spark, folder))
 
-def _candidates(spark, folder, *names, scores=_scores):
-    scored = _rounded(scores(spark, folder, *names), "score", digits=9)
-    return metrics.candidates(scored, diffusion.seed_vector(seeds(spark, folder)), metrics.label_map(labels(spark, folder)))
+
+def _evaluation(spark, folder, *names):
+    return metrics.evaluation(cut(_scores(spark, folder, *names)), *_seeds_and_labels(spark, folder), TOP)
 
 
 def ppr_scores(spark, folder):
-    return _rounded(_scores(spark, folder, "signal").select("id", "score"), "score", digits=8)
+    return _scores(spark, folder, "signal").select("id", "score")
 
 
 def ppr_scores_converged(spark, folder):
-    return _converged(spark, folder, "signal", "prior")
+    return _scores(spark, folder, "signal", "prior")
 
 
 def ppr_topk(spark, folder):
-    rows = _candidates(spark, folder, "signal").orderBy(F.desc("score"), "id").limit(TOP)
-    return rows.select("id", F.round("score", 8).alias("score"))
+    return _candidates(spark, folder, "signal").orderBy(F.desc("score"), "id").limit(TOP).select("id", "score")
 
 
 def pr_curve(spark, folder):
@@ -196,20 +202,25 @@ def auprc(spark, folder):
     return _rounded(metrics.summary(_candidates(spark, folder, "prior"), TOP).select("graph", "auprc"), "auprc")
 
 
+METRICS = ("auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
+
+
 def ranking_metrics(spark, folder):
-    out = metrics.summary(_candidates(spark, folder, "signal"), TOP)
-    return _rounded(out, "auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
+    return _rounded(_evaluation(spark, folder, "signal"), *METRICS)
 
 
 def eval_folder_summary(spark, folder):
-    out = metrics.best_first(metrics.summary(_candidates(spark, folder, "signal", "prior", "mix", "reweight"), TOP))
-    return _rounded(out, "auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
+    return _rounded(metrics.best_first(_evaluation(spark, folder, "signal", "prior", "mix", "reweight")), *METRICS)
 
 
 def eval_folder_converged(spark, folder):
-    """As ``eval_folder_summary``, of scores to the tolerance."""
-    scored = metrics.summary(_candidates(spark, folder, "signal", "prior", "mix", "reweight", scores=_converged), TOP)
-    return _rounded(metrics.best_first(scored), "auprc", "precision_at_k", "recall_at_k", "enrich_factor_at_k")
+    """As ``eval_folder_summary``; both rank to the tolerance."""
+    return eval_folder_summary(spark, folder)
+
+
+def eval_by_precision(spark, folder):
+    """The two graphs of the highest precision."""
+    return metrics.by_metric(_rounded(_evaluation(spark, folder, "signal", "prior", "reweight"), *METRICS), "precision_at_k").limit(2)
 
 
 def edge_split(spark, folder):
@@ -230,7 +241,7 @@ QUERIES = {
         edge_dedup_max, merge_parts, stream_merge_parts, edge_last_weight, edge_filter_whitelist, node_degree, edge_nodes,
         prior_graph, norm_minmax_global, norm_clip01, norm_minmax_src, norm_sigmoid_z_src, norm_softmax_src, top_edges_src,
         reweight_exp, reweight_linear, gated_mix_exp, gated_mix_linear, seed_vector, label_map, ppr_scores, ppr_topk, pr_curve, auprc,
-        ranking_metrics, eval_folder_summary, ppr_scores_converged, eval_folder_converged, edge_split, node_split, negative_pairs,
+        ranking_metrics, eval_folder_summary, ppr_scores_converged, eval_folder_converged, eval_by_precision, edge_split, node_split, negative_pairs,
     )
 }
 
@@ -238,8 +249,14 @@ _U, _V = canonical_sql("u"), canonical_sql("v")
 _PARTS = f"parts AS (SELECT u, v, w, rec_id FROM (SELECT {_U} AS u, {_V} AS v, w, rec_id FROM signal_parts) WHERE u <> v AND w IS NOT NULL AND NOT isnan(w))"
 _MERGED = _PARTS + ", merged AS (SELECT least(u, v) AS u, greatest(u, v) AS v, max(w) AS w FROM parts GROUP BY 1, 2)"
 _SIGNAL = _MERGED + ", signal AS (SELECT * FROM merged WHERE w > 0)"
-_ROWS = " UNION ALL ".join(f"SELECT {_U} AS u, {_V} AS v FROM {s}_pos_edges" for s in SPLITS)
-_PRIOR = f"prior AS (SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(count(*) AS DOUBLE) AS w FROM ({_ROWS}) WHERE u <> v GROUP BY 1, 2)"
+
+
+def _prior_of(*splits: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT {_U} AS u, {_V} AS v FROM {s}_pos_edges" for s in splits)
+    return f"prior AS (SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(count(*) AS DOUBLE) AS w FROM ({rows}) WHERE u <> v GROUP BY 1, 2)"
+
+
+_PRIOR, _TRAINED = _prior_of(*SPLITS), _prior_of("train")
 _DIRECTED = _PARTS + ", d AS (SELECT u AS src, v AS dst, max(w) AS w FROM parts WHERE w > 0 GROUP BY 1, 2)"
 _LAST = _PARTS + ", f AS (SELECT least(u, v) AS u, greatest(u, v) AS v, arg_max(w, rec_id) AS p FROM parts GROUP BY 1, 2)"
 _SCALED = "s AS (SELECT u, v, CASE WHEN hi <= lo + 1e-12 THEN 0 ELSE (w - lo) / (hi - lo) END AS w FROM prior, (SELECT min(w) AS lo, max(w) AS hi FROM prior))"
@@ -249,27 +266,31 @@ _LABELS = f"""te AS (SELECT {_U} AS u, {_V} AS v FROM test_pos_edges),
 labels AS (SELECT u AS id FROM te WHERE u <> v UNION SELECT v FROM te WHERE u <> v)"""
 
 
-def _mix(scaled: str, factor: str, share: float) -> str:
-    return f"""{_LAST}, {_PRIOR}, {scaled}, gated AS (SELECT s.u, s.v, {share} * s.w * {factor} AS w FROM s LEFT JOIN f USING (u, v)),
+def _mix(scaled: str, factor: str, share: float, prior: str = _PRIOR) -> str:
+    return f"""{_LAST}, {prior}, {scaled}, gated AS (SELECT s.u, s.v, {share} * s.w * {factor} AS w FROM s LEFT JOIN f USING (u, v)),
     b AS (SELECT * FROM gated UNION ALL SELECT least(u, v), greatest(u, v), {1 - share} * w FROM parts),
     mix AS (SELECT u, v, sum(w) AS w FROM b GROUP BY u, v HAVING sum(w) > 0)"""
 
 
 
 def _rank_sql(relation: str) -> str:
-    """Scores of each graph in ``relation`` by the stated rounds of PageRank."""
+    """Scores of each graph in ``relation``, to the tolerance, as it is looked at."""
     return f"""e AS (SELECT graph, u AS a, v AS b, w FROM {relation} UNION ALL SELECT graph, v, u, w FROM {relation}),
     o AS (SELECT graph, a, sum(w) AS o FROM e GROUP BY graph, a),
     t AS (SELECT e.graph, e.a, e.b, e.w / o.o AS share FROM e JOIN o ON e.a = o.a AND e.graph = o.graph),
     here AS (SELECT o.graph, g.id, g.s / sum(g.s) OVER (PARTITION BY o.graph) AS p FROM g JOIN o ON g.id = o.a),
     n AS (SELECT o.graph, o.a AS id, coalesce(here.p, 0) AS p, 1.0 / count(*) OVER (PARTITION BY o.graph) AS x FROM o LEFT JOIN here ON here.id = o.a AND here.graph = o.graph),
-    r AS (SELECT 0 AS k, graph, id, CAST(x AS DOUBLE) AS x FROM n
-     UNION ALL SELECT r.k + 1, t.graph, t.b, 0.85 * sum(r.x * t.share) + 0.15 * max(n.p) FROM r JOIN t ON r.id = t.a AND r.graph = t.graph
-      JOIN n ON n.id = t.b AND n.graph = t.graph WHERE r.k < {ROUNDS} GROUP BY r.k, t.graph, t.b),
-    scores AS (SELECT graph, id, x AS score FROM r WHERE k = {ROUNDS})"""
+    r AS (SELECT 0 AS k, graph, id, CAST(x AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS before FROM n
+     UNION ALL SELECT r.k + 1, t.graph, t.b, 0.85 * sum(r.x * t.share) + 0.15 * max(n.p), max(own.x) FROM r JOIN t ON r.id = t.a AND r.graph = t.graph
+      JOIN n ON n.id = t.b AND n.graph = t.graph JOIN r own ON own.id = t.b AND own.graph = t.graph
+      WHERE r.k < {ROUNDS} AND (r.k % {EVERY} <> 0 OR r.k = 0 OR r.graph IN (SELECT graph FROM r GROUP BY graph HAVING sum(abs(x - before)) >= count(*) * {TOLERANCE}))
+      GROUP BY r.k, t.graph, t.b),
+    ends AS (SELECT *, max(k) OVER (PARTITION BY graph) AS iterations FROM r),
+    scores AS (SELECT graph, id, round(x, 9) AS score, iterations, sum(abs(x - before)) OVER (PARTITION BY graph) < count(*) OVER (PARTITION BY graph) * {TOLERANCE} AS converged
+     FROM ends WHERE k = iterations)"""
 
 
-_CANDIDATES = """cand AS (SELECT graph, id, round(score, 9) AS score, CASE WHEN id IN (SELECT id FROM labels) THEN 1.0 ELSE 0.0 END AS y
+_CANDIDATES = """cand AS (SELECT graph, id, score, CASE WHEN id IN (SELECT id FROM labels) THEN 1.0 ELSE 0.0 END AS y
  FROM scores WHERE id NOT IN (SELECT id FROM g)),
 c AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY score DESC, id) AS rank,
  sum(y) OVER (PARTITION BY graph ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp, sum(y) OVER (PARTITION BY graph) AS pos FROM cand)"""
@@ -277,12 +298,15 @@ _SUMMARY = f"""SELECT graph, count(*) AS n_candidates, CAST(sum(y) AS BIGINT) AS
  round(sum(CASE WHEN rank <= {TOP} THEN y ELSE 0 END) / count(*) FILTER (rank <= {TOP}), 6) AS precision_at_k,
  round(sum(CASE WHEN rank <= {TOP} THEN y ELSE 0 END) / greatest(1, sum(y)), 6) AS recall_at_k,
  round(sum(CASE WHEN rank <= {TOP} THEN y ELSE 0 END) / count(*) FILTER (rank <= {TOP}) / (sum(y) / count(*)), 6) AS enrich_factor_at_k FROM c GROUP BY graph"""
+_COUNTS = """counts AS (SELECT graph, count(*) AS n_nodes, count(*) FILTER (id IN (SELECT id FROM g)) AS n_seeds_in_graph, count(*) FILTER (id IN (SELECT id FROM labels)) AS n_pos_total,
+ CAST(max(iterations) AS INT) AS iterations, bool_and(converged) AS converged FROM scores GROUP BY graph)"""
+_EVALUATION = f"{_CANDIDATES}, {_COUNTS}, m AS (SELECT * FROM counts JOIN ({_SUMMARY}) USING (graph))"
 _RANK_SIGNAL = f"WITH RECURSIVE {_SIGNAL}, {_SEEDS}, {_LABELS}, {_rank_sql("(SELECT 'signal' AS graph, * FROM signal)")}"
 _ALL = """all_ AS (SELECT 'signal' AS graph, least(u, v) AS u, greatest(u, v) AS v, max(w) AS w FROM parts WHERE w > 0 GROUP BY ALL UNION ALL SELECT 'prior', u, v, w FROM prior
  UNION ALL SELECT 'mix', u, v, w FROM mix UNION ALL SELECT 'reweight', u, v, w FROM reweight_ WHERE w > 0)"""
 _REWEIGHTED = "reweight_ AS (SELECT s.u, s.v, s.w * exp(coalesce(f.p, 0)) AS w FROM s LEFT JOIN f USING (u, v))"
-_RANK_PRIOR = f"WITH RECURSIVE {_PRIOR}, {_SEEDS}, {_LABELS}, {_rank_sql("(SELECT 'prior' AS graph, * FROM prior)")}"
-_MIX = _mix(_SCALED, "exp(coalesce(f.p, 0))", 0.5)
+_RANK_PRIOR = f"WITH RECURSIVE {_TRAINED}, {_SEEDS}, {_LABELS}, {_rank_sql("(SELECT 'prior' AS graph, * FROM prior)")}"
+_MIX = _mix(_SCALED, "exp(coalesce(f.p, 0))", 0.5, _TRAINED)
 _RANK_ALL = f"WITH RECURSIVE {_MIX}, {_REWEIGHTED}, {_ALL}, {_SEEDS}, {_LABELS}, {_rank_sql('all_')}"
 _TRIES = " UNION ALL ".join(
     f"""SELECT x.id AS u, y.id AS v FROM (SELECT id, row_number() OVER (ORDER BY md5('{2 * k}|' || id || '|' || u || '|' || v), id, u, v) AS k FROM ends) x
@@ -290,6 +314,7 @@ _TRIES = " UNION ALL ".join(
     for k in range(4)
 )
 _SPLIT = "CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split"
+_FOLDER = f"{_RANK_ALL}, {_EVALUATION} SELECT *, row_number() OVER (ORDER BY auprc DESC NULLS FIRST, recall_at_k DESC NULLS FIRST, graph) AS place FROM m"
 
 SQL = {
     "edge_dedup_max": f"WITH {_MERGED} SELECT u, v, w FROM merged",
@@ -317,12 +342,15 @@ SQL = {
     "seed_vector": f"WITH {_SEEDS} SELECT id, round(s / (SELECT sum(s) FROM g), 9) AS p FROM g",
     "label_map": f"""SELECT id, arg_max(CASE WHEN v > 0 AND NOT isnan(v) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, rec_id) AS y
      FROM (SELECT {canonical_sql("c0")} AS id, weight AS v, rec_id FROM seeds) WHERE id IS NOT NULL AND v IS NOT NULL GROUP BY id""",
-    "ppr_scores": f"{_RANK_SIGNAL} SELECT id, round(score, 8) AS score FROM scores",
-    "ppr_topk": f"{_RANK_SIGNAL}, {_CANDIDATES} SELECT id, round(score, 8) AS score FROM c ORDER BY rank LIMIT {TOP}",
+    "ppr_scores": f"{_RANK_SIGNAL} SELECT id, score FROM scores",
+    "ppr_topk": f"{_RANK_SIGNAL}, {_CANDIDATES} SELECT id, score FROM c ORDER BY rank LIMIT {TOP}",
     "pr_curve": f"{_RANK_PRIOR}, {_CANDIDATES} SELECT id, rank, CAST(tp AS DOUBLE) AS tp, round(tp / rank, 6) AS precision, round(tp / pos, 6) AS recall FROM c",
     "auprc": f"{_RANK_PRIOR}, {_CANDIDATES} SELECT graph, round(sum(y * tp / rank) / sum(y), 6) AS auprc FROM c GROUP BY graph",
-    "ranking_metrics": f"{_RANK_SIGNAL}, {_CANDIDATES} {_SUMMARY}",
-    "eval_folder_summary": f"{_RANK_ALL}, {_CANDIDATES}, m AS ({_SUMMARY}) SELECT *, row_number() OVER (ORDER BY auprc DESC NULLS FIRST, recall_at_k DESC NULLS FIRST, graph) AS place FROM m",
+    "ranking_metrics": f"{_RANK_SIGNAL}, {_EVALUATION} SELECT * FROM m",
+    "eval_folder_summary": _FOLDER,
+    "eval_folder_converged": _FOLDER,
+    "eval_by_precision": f"{_RANK_ALL}, {_EVALUATION} SELECT * FROM m WHERE graph <> 'mix' ORDER BY precision_at_k DESC NULLS LAST, graph LIMIT 2",
+    "ppr_scores_converged": f"{_RANK_ALL} SELECT graph, id, score, CAST(iterations AS INT) AS iterations, converged FROM scores WHERE graph IN ('signal', 'prior')",
     "negative_pairs": f"""WITH {_PRIOR}, ends AS (SELECT u, v, u AS id FROM prior UNION ALL SELECT u, v, v FROM prior), drawn AS ({_TRIES}),
      fresh AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM drawn WHERE u <> v), f AS (SELECT * FROM fresh ANTI JOIN prior USING (u, v)),
      x AS (SELECT u, v, row_number() OVER (ORDER BY md5('-1|' || u || '|' || v), u, v) AS k FROM f) SELECT u, v FROM x WHERE k <= (SELECT count(*) FROM prior)""",

@@ -1,8 +1,8 @@
 """All registered queries: name to callable, and name to SQL."""
 
-from . import graph_queries, orphan_queries, vector_queries
+from . import graph_queries, io_queries, orphan_queries, vector_queries
 
-MODULES = [orphan_queries, graph_queries, vector_queries]
+MODULES = [orphan_queries, graph_queries, vector_queries, io_queries]
 
 
 def queries() -> dict:

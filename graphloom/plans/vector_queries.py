@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import graphs, quality, scorers, sequences, splits, supervised, vectors
+from ..operators import graphs, normalize, quality, scorers, sequences, splits, supervised, vectors
 from ..operators import edges as E
 from ..runtime import cut
 from .graph_queries import prior
@@ -75,6 +75,21 @@ def knn_row_softmax_500(spark, folder):
     return graphs.neighbour_graph(_queries(base), base, NEAREST, HEAVIEST, "row_softmax", 0.05).withColumn("w", F.round("w", 6))
 
 
+def knn_nodes_cos_pos(spark, folder):
+    """The neighbour graph of the listed nodes by their own embeddings."""
+    base = cut(node_vectors(spark, folder))
+    return graphs.neighbour_graph(_node_queries(base), base, NEAREST, HEAVIEST).withColumn("w", F.round("w", 6))
+
+
+def knn_nodes_softmax(spark, folder):
+    base = cut(node_vectors(spark, folder))
+    return graphs.neighbour_graph(_node_queries(base), base, NEAREST, HEAVIEST, "row_softmax", 0.05).withColumn("w", F.round("w", 6))
+
+
+def node_norm_quantiles(spark, folder):
+    return quality.quantiles(quality.norms(node_vectors(spark, folder)), "norm").withColumn("value", F.round("value", 6))
+
+
 def emb_unit(spark, folder):
     rows = embeddings(spark, folder).select("id", F.posexplode(vectors.unit(F.col("vector"))).alias("at", "x"))
     return rows.select("id", "at", F.round("x", 6).alias("x"))
@@ -94,6 +109,11 @@ def cos_top1_quantiles(spark, folder):
     return quality.quantiles(quality.top_similarities(_queries(base), base), "first").withColumn("value", F.round("value", 6))
 
 
+def cos_top5_quantiles(spark, folder):
+    base = embeddings(spark, folder)
+    return quality.quantiles(quality.top_similarities(_queries(base), base, 5), "last").withColumn("value", F.round("value", 6))
+
+
 def rank_corr(spark, folder):
     """Between the length of a sequence and the share of it that is masked."""
     r = sequences.residues(F.col("seq"))
@@ -134,10 +154,9 @@ def seq_layout(spark, folder):
 
 
 def _pairs(spark, folder):
-    rows = records(spark, folder)
-    edges = prior(spark, folder)
-    a, b = (rows.select(F.col("id").alias(end), F.col("seq").alias(f"{end}_seq")) for end in ("u", "v"))
-    return edges.join(a, "u").join(b, "v")
+    pairs = cut(prior(spark, folder).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    met = graphs.with_items(pairs, cut(records(spark, folder)))
+    return met.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("a.seq").alias("u_seq"), F.col("b.seq").alias("v_seq"))
 
 
 def seq_linker_pairs(spark, folder):
@@ -147,10 +166,17 @@ def seq_linker_pairs(spark, folder):
 
 def pair_scored_jaccard(spark, folder):
     """The prior's pairs, either way, weighed by shared 3-mers and scaled over each source."""
-    items = records(spark, folder).select("id", scorers.kmers(F.col("seq")).alias("kmers"))
-    both = E.both_ways(prior(spark, folder))
-    out = graphs.scored_graph(both, items, scorers.jaccard(F.col("a.kmers"), F.col("b.kmers")), TOP, "minmax")
-    return out.withColumn("w", F.round("w", 6))
+    items = cut(records(spark, folder).select("id", scorers.kmer_codes(F.col("seq")).alias("kmers")))
+    pairs = cut(prior(spark, folder).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    scored = graphs.score_pairs(pairs, items, scorers.jaccard(F.col("a.kmers"), F.col("b.kmers")))
+    both = E.both_ways(scored.withColumnsRenamed({"src": "u", "dst": "v"}))
+    return graphs.from_candidates(normalize.over_source(both, "minmax"), TOP).withColumn("w", F.round("w", 6))
+
+
+def pair_surplus(spark, folder):
+    """The prior's pairs by the distinct 3-mers of the linked pair less those of either sequence."""
+    pairs = cut(prior(spark, folder).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    return graphs.joint_surplus(pairs, records(spark, folder), lambda seq: F.size(scorers.kmers(seq)))
 
 
 def pair_scored_candidates(spark, folder):
@@ -190,12 +216,17 @@ def supervised_graph(spark, folder):
     return supervised.supervised_graph(near, held, model, HEAVIEST, sources_at_once=AT_ONCE)
 
 
+def edge_split_held(spark, folder):
+    """The split of the pairs whose nodes are listed and have a usable vector."""
+    return splits.edge_split(E.within(prior(spark, folder), node_vectors(spark, folder).select("id")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_topm, knn_cos_pos, knn_row_softmax, emb_unit, emb_norm_quantiles, emb_finite_check, cos_top1_quantiles, rank_corr, seq_prepare,
+        edge_split_held, cosine_topm, knn_cos_pos, knn_row_softmax, emb_unit, emb_norm_quantiles, emb_finite_check, cos_top1_quantiles, rank_corr, seq_prepare,
         seq_missing, seq_windows, seq_length_bucket, seq_layout, seq_linker_pairs, pair_scored_jaccard, embed_pooled, pair_features, supervised_graph,
-        pair_scored_candidates, cosine_top500, knn_cos_pos_500, knn_row_softmax_500,
+        pair_surplus, knn_nodes_cos_pos, knn_nodes_softmax, node_norm_quantiles, cos_top5_quantiles, pair_scored_candidates, cosine_top500, knn_cos_pos_500, knn_row_softmax_500,
     )
 }
 
@@ -244,6 +275,17 @@ SQL = {
     "knn_cos_pos_500": f"WITH {_COS}, c AS (SELECT src, dst, greatest(w, 0) AS x FROM r WHERE rank <= {NEAREST}) {_HEAVIEST}",
     "knn_row_softmax_500": f"""WITH {_COS}, e AS (SELECT src, dst, exp((w - max(w) OVER (PARTITION BY src)) / 0.05) AS e FROM r WHERE rank <= {NEAREST}),
      c AS (SELECT src, dst, e / (sum(e) OVER (PARTITION BY src) + 1e-12) AS x FROM e) {_HEAVIEST}""",
+    "edge_split_held": f"""WITH {_NODE_VECTORS}, {_PAIRS}, held_ AS (SELECT * FROM prior WHERE u IN (SELECT id FROM node_vectors) AND v IN (SELECT id FROM node_vectors)),
+     x AS (SELECT u, v, row_number() OVER (ORDER BY md5('0|' || u || '|' || v), u, v) AS k, count(*) OVER () AS n FROM held_)
+     SELECT u, v, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM x""",
+    "knn_nodes_cos_pos": f"WITH {_NODE_VECTORS}, {_node_cos('node_vectors')}, c AS (SELECT src, dst, greatest(w, 0) AS x FROM r WHERE rank <= {NEAREST}) {_HEAVIEST}",
+    "knn_nodes_softmax": f"""WITH {_NODE_VECTORS}, {_node_cos('node_vectors')}, e AS (SELECT src, dst, exp((w - max(w) OVER (PARTITION BY src)) / 0.05) AS e FROM r WHERE rank <= {NEAREST}),
+     c AS (SELECT src, dst, e / (sum(e) OVER (PARTITION BY src) + 1e-12) AS x FROM e) {_HEAVIEST}""",
+    "node_norm_quantiles": f"WITH {_NODE_VECTORS}, n AS (SELECT sqrt(list_dot_product(v, v)) AS x FROM node_vectors) {_quantiles('n')}",
+    "cos_top5_quantiles": f"WITH {_COS}, t AS (SELECT w AS x FROM r WHERE rank = 5) {_quantiles('t')}",
+    "pair_surplus": f"""WITH {_RECORDS}, {_PAIRS}, j AS (SELECT u, v, 0 AS part, a.seq || 'XXXXXXXXXX' || b.seq AS s FROM prior JOIN records a ON a.id = u JOIN records b ON b.id = v),
+     size_ AS (SELECT s, len(list_distinct(list_transform(range(1, greatest(1, length(s) - 2) + 1), lambda i: substr(s, i, 3)))) AS n FROM (SELECT s FROM j UNION SELECT seq FROM records))
+     SELECT j.u AS src, j.v AS dst, CAST(x.n - y.n - z.n AS DOUBLE) AS w FROM j JOIN size_ x ON x.s = j.s JOIN records a ON a.id = u JOIN size_ y ON y.s = a.seq JOIN records b ON b.id = v JOIN size_ z ON z.s = b.seq""",
     "emb_unit": """WITH x AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),
      n AS (SELECT id, v, sqrt(list_dot_product(v, v)) + 1e-12 AS s, unnest(range(0, len(v))) AS at_ FROM x) SELECT id, CAST(at_ AS INT) AS at, round(v[at_ + 1] / s, 6) AS x FROM n""",
     "emb_norm_quantiles": f"""WITH x AS (SELECT list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),

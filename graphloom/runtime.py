@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one of its own only where the session names none."""
+    """The session's shared checkpoint folder; one of its own only in local mode where the session names none."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 

@@ -7,14 +7,21 @@ that is no number. Lines that are too short and self-loops are always skipped.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import edges as E
+
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
 
 
+#: Where a line stands: files by path, then the split of the file, then the order of reading. Compares as the lines follow.
+_PLACE = "struct(_metadata.file_path as file, _metadata.file_block_start as split, monotonically_increasing_id() as line)"
+#: The stem of a file's name; of a folder of part files, as Spark writes them, the folder's.
+_STEM = r"([^/]+?)(?:\.[A-Za-z0-9]+)?(?:/part-[^/]*)?$"
+
+
 def _lines(spark: SparkSession, path: str | list[str], trim: bool) -> DataFrame:
-    """Lines with ``line_no`` (in file order) and ``part``, the file's name; an empty match fails in Spark."""
-    rows = spark.read.text(path).select(
-        F.col("value"), F.monotonically_increasing_id().alias("line_no"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("part")
-    )
+    """Lines with ``line_no``, which orders them by file name and place in the file, and ``part``, the file's stem; an empty match fails in Spark."""
+    rows = spark.read.text(path).select("value", F.expr(_PLACE).alias("line_no"))
+    rows = rows.withColumn("part", F.regexp_extract("line_no.file", _STEM, 1))
     return rows.withColumn("value", F.trim("value")) if trim else rows
 
 
@@ -35,6 +42,18 @@ def read_edges(spark: SparkSession, path: str | list[str], strict: bool = False)
     return rows.select("u", "v", _number(F.col("t")).alias("w"), "part", "line_no").where("w is not null")
 
 
+def read_graphs(spark: SparkSession, path: str | list[str], nodes: DataFrame | None = None, min_w: float = 0.0) -> DataFrame:
+    """``(graph, u, v, w)`` of a folder of edge files, one graph a file, named by its stem.
+
+    Lenient lines; ``nodes(id)``: only edges with both ends among them; only weights above ``min_w``. Of an
+    undirected pair in a file the greatest weight counts.
+    """
+    rows = read_edges(spark, path).select(F.col("part").alias("graph"), "u", "v", "w").where((F.col("w") > min_w) & ~F.isnan("w"))
+    if nodes is not None:
+        rows = E.within(rows, nodes)
+    return E.canonical_pairs(rows).groupBy("graph", "u", "v").agg(F.max("w").alias("w"))
+
+
 def read_pairs(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
     """``(u, v)`` of lines of two columns or more; with ``header``, lines whose first column begins with node are skipped."""
     f = F.split("value", "\t")
@@ -116,3 +135,8 @@ def write_parts(df: DataFrame, by: str, path: str) -> None:
 def write_summary(summaries: DataFrame, path: str) -> None:
     """A TSV with a header in the order of ``place``; missing values are empty."""
     summaries.orderBy("place").write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="")
+
+
+def write_summary_json(summaries: DataFrame, path: str) -> None:
+    """A folder for each graph with its summary, one JSON object; missing values are null."""
+    summaries.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("graph").json(path)
