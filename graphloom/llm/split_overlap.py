@@ -88,7 +88,8 @@ def matches(training: DataFrame, evaluation: DataFrame, words: int, least: float
                 rows = [(i, number, share) for i, text in zip(batch["id"], batch["text"]) for number, share in passages.coverage(text) if share >= least]
                 yield pd.DataFrame(rows, columns=["training_id", "text_no", "covered"])
 
-        part = texts.mapInPandas(scan, f"training_id {kind}, text_no long, covered double")
+        part = cut(texts.mapInPandas(scan, f"training_id {kind}, text_no long, covered double"))
+        sent.destroy()  # one shard at a time is held
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -102,7 +103,7 @@ def overlapping_rows(training: DataFrame, evaluation: DataFrame, words: int, lea
     training rows show is spread over ``SALTS`` tasks.
     """
     texts = cut(evaluation.select("text").where("text <> ''").distinct().withColumn("text_no", F.monotonically_increasing_id()))
-    found = cut(matches(training, texts, words, least, shard))
+    found = matches(training, texts, words, least, shard)
     rows = evaluation.select(F.col("id").alias("evaluation_id"), "text", "split", "source")
     hot = skew.hot_keys(rows, "text")
     rows = rows.withColumn("salt", skew.salt("text", F.col("evaluation_id"), hot, SALTS))
