@@ -145,19 +145,20 @@ def count_by_month(orphans: DataFrame) -> DataFrame:
     return orphans.groupBy("tbl", F.expr(MONTH)).agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-def in_batches(references: DataFrame, parents: DataFrame, clock: list) -> OrphanLedger:
+def in_batches(references: DataFrame, parents: DataFrame, clock: list, late: int = 1) -> OrphanLedger:
     """Plays whole tables through the ledger in the order of delivery, ``batch`` being a column of both.
 
-    A parent comes with its batch and, where it has an end, again as a deletion: with the first batch whose
+    A parent comes with its batch and, where it has an end, again as a deletion: ``late`` batches after the first whose
     time in ``clock`` (one for each batch, rising) reaches the end, not before the parent
-    itself, and at the latest with the last batch. A reference up to the clock of its batch is settled.
+    itself, and at the latest with the last batch. So a reference is settled ``late`` batches after its time.
     """
     references, parents = cut(references), cut(parents)
     clock = [None if t is None else F.lit(str(t)).cast("timestamp_ntz") for t in clock]
     ledger, hot, last = OrphanLedger(), skew.hot_keys(references, "name"), len(clock) - 1
     reached = F.coalesce(*(F.when(F.col("end") <= t, F.lit(b)) for b, t in enumerate(clock) if t is not None), F.lit(last))
-    parents = parents.withColumn("ends", F.greatest("batch", F.least(reached, F.lit(last))))
-    for b, t in enumerate(clock):
+    parents = parents.withColumn("ends", F.greatest("batch", F.least(reached + late, F.lit(last))))
+    for b in range(len(clock)):
+        t = clock[b - late] if b >= late else None
         seen = parents.where((F.col("batch") == b) | ((F.col("ends") == b) & F.col("end").isNotNull()))
         seen = seen.withColumn("end", F.when(F.col("ends") <= b, F.col("end")))
         settled = F.lit(True) if b == last else F.lit(False) if t is None else F.col("at") <= t

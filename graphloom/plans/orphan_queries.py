@@ -14,6 +14,8 @@ REFERENCE_COLUMNS = {
 }
 #: Deliveries that the tables are played through in; each has its share of every table, in the order of ``rec_id``.
 BATCHES = 4
+#: Deliveries after which a deletion is told of.
+LATE = 2
 
 
 def delivered(df: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def node_parents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, folder: str) -> orphans.OrphanLedger:
-    return orphans.in_batches(node_references(spark, folder), node_parents(spark, folder), clock(spark, folder))
+    return orphans.in_batches(node_references(spark, folder), node_parents(spark, folder), clock(spark, folder), LATE)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +116,7 @@ n AS (SELECT {canonical_sql("id")} AS name, {canonical_sql("alias")} AS former,
 former AS (SELECT former, min(name) AS node FROM n WHERE former IS NOT NULL AND name IS NOT NULL
  AND former NOT IN (SELECT name FROM n WHERE name IS NOT NULL) GROUP BY former),
 clock AS (SELECT b, (SELECT max(tm) FROM parted WHERE tbl = 'signal_parts' AND came <= b) AS t FROM range({BATCHES}) x(b)),
-dated AS (SELECT *, greatest(came, coalesce((SELECT min(b) FROM clock WHERE t >= retired_at), {BATCHES - 1})) AS goes FROM n),
+dated AS (SELECT *, greatest(came, least(coalesce((SELECT min(b) FROM clock WHERE t >= retired_at), {BATCHES - 1}) + {LATE}, {BATCHES - 1})) AS goes FROM n),
 held AS (SELECT name, loaded_at, retired_at, came, goes FROM dated
  UNION ALL SELECT f.former, d.loaded_at, d.retired_at, d.came, d.goes FROM former f JOIN dated d ON d.name = f.node),
 states AS (SELECT tbl, rec_id, tm, r.came, b, NOT EXISTS (SELECT 1 FROM held h WHERE h.name = r.name AND h.came <= b

@@ -44,11 +44,11 @@ def frames(spark, refs, parents, batches=1, seed=0):
     return r, p
 
 
-@pytest.mark.parametrize("clock", [[None], [100, 100, 500], [None, 30, 720]])
-def test_batches_equal_brute_force(spark, clock):
+@pytest.mark.parametrize("clock,late", [([None], 1), ([100, 100, 500], 0), ([100, 300, 500, 600], 1), ([None, 30, 720], 0), ([10, 200, 720, 720], 2)])
+def test_batches_equal_brute_force(spark, clock, late):
     refs, parents = case(1)
     r, p = frames(spark, refs, parents, len(clock))
-    ledger = O.in_batches(r, p, [at(t) for t in clock])
+    ledger = O.in_batches(r, p, [at(t) for t in clock], late)
     want = brute(refs, parents)
     assert {(x.tbl, x.rec_id) for x in ledger.pending.collect()} == want
     assert sum(x.n_orphans for x in ledger.snapshot().collect()) == len(want)
