@@ -51,8 +51,9 @@ def composition(seq: Column) -> Column:
     """Share of each residue of ``ALPHABET`` among all of them; stands in for an encoder. All 0 where there are none, as of NULL."""
     seq = F.coalesce(seq, F.lit(""))
     counts = F.array(*(F.length(seq) - F.length(F.replace(seq, F.lit(c), F.lit(""))) for c in ALPHABET))
-    total = F.greatest(F.lit(1), F.aggregate(counts, F.lit(0), lambda s, x: s + x))
-    return F.transform(counts, lambda x: (x / total).cast("float"))
+    total = lambda c: F.greatest(F.lit(1), F.aggregate(c, F.lit(0), lambda s, x: s + x))
+    # The counts as a lambda's argument are made once, not again for each share.
+    return F.transform(F.array(counts), lambda c: F.transform(c, lambda x: (x / total(c)).cast("float")))[0]
 
 
 composition_encoder = composition
