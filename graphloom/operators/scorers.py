@@ -24,9 +24,11 @@ def kmers(seq: Column, k: int = 3) -> Column:
 
 def kmer_codes(seq: Column, k: int = 3) -> Column:
     """``kmers`` of the letters A to Z as numbers of two bytes, for ``k`` up to 3; no letter counts as 0."""
-    letter = lambda x, i: F.greatest(F.lit(0), F.ascii(F.substr(x, F.lit(i), F.lit(1))) - 64)
-    code = lambda x: sum((letter(x, i + 1) * 27 ** (k - 1 - i) for i in range(k)), F.lit(0))
-    return F.transform(kmers(seq, k), lambda x: code(x).cast("short"))
+    letters = F.transform(F.split(seq, ""), lambda c: F.greatest(F.lit(0), F.ascii(c) - 64))
+    last = F.greatest(F.lit(0), F.length(seq) - k)
+    code = lambda a, i: sum((F.coalesce(F.get(a, i + j), F.lit(0)) * 27 ** (k - 1 - j) for j in range(k)), F.lit(0)).cast("short")
+    # The letters as a lambda's argument are made once, not again for each place.
+    return F.array_distinct(F.transform(F.array(letters), lambda a: F.transform(F.sequence(F.lit(0), last), lambda i: code(a, i)))[0])
 
 
 def jaccard(a: Column, b: Column) -> Column:

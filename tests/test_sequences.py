@@ -79,3 +79,10 @@ def test_encoders(spark):
     assert got[1][:2] == pytest.approx([1 / 3, 2 / 3]) and got[2][scorers.ALPHABET.index("W")] == 1
     j = df.select(scorers.jaccard(scorers.kmers(F.lit("ABCDE")), scorers.kmers(F.lit("BCDEF")))).first()[0]
     assert j == 0.5
+
+
+def test_kmer_codes_tell_kmers_apart(spark):
+    texts = ["ABCDEABC", "AB", "A", "ZZZZ", "BAB", "ABA", "AAB"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", scorers.kmers(F.col("s")).alias("a"), scorers.kmer_codes(F.col("s")).alias("b")).collect()
+    code = lambda x: sum((ord(c) - 64) * 27 ** (2 - i) for i, c in enumerate(x))
+    assert all([code(x) for x in r.a] == r.b for r in rows) and len({tuple(r.b) for r in rows}) == len(texts)
