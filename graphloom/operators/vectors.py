@@ -9,8 +9,8 @@ from ..runtime import cut
 from .normalize import top_per_source
 
 TINY = 1e-12
-#: Queries that one task multiplies with its rows at once, and rows at least and at most.
-QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK = 4096, 4096, 65_536
+#: Queries that one task multiplies with its rows at least and at most, and rows at most.
+LEAST_QUERIES, QUERY_BLOCK, MOST_BLOCK = 512, 4096, 65_536
 #: Numbers of a block of products at most: 64 MB.
 _PRODUCTS = 1 << 23
 #: Cosines that agree in so many digits are ties: products of equal vectors may differ in the last bits.
@@ -58,10 +58,10 @@ def exact_neighbours(queries: DataFrame, base: DataFrame, m: int, size: int | No
         common = queries.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
         size = common["size"] if common else 0
     queries, base = (df.where(F.size("vector") == size) for df in (queries, base))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    n, cores = base.count(), base.sparkSession.sparkContext.defaultParallelism
-    # Small tables are divided as far as there are cores, unless blocks would hold little beside the m kept of each.
-    parts = max(1, -(-n // MOST_BLOCK), min(cores // blocks, n // max(LEAST_BLOCK, 32 * m)))
+    n, cores = queries.count(), base.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-base.count() // MOST_BLOCK))
+    # Where there are cores to spare, queries are divided further, not the rows: each block of rows keeps m of them for every query.
+    blocks = max(1, -(-n // QUERY_BLOCK), min(cores // parts, n // LEAST_QUERIES))
     left = queries.select(F.col("id").alias("src"), F.col("vector").alias("x")).withColumn("q", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = base.select(F.col("id").alias("dst"), F.col("vector").alias("y")).withColumn("b", F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
